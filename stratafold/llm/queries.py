@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratafold.llm import mixing
+from stratafold.llm.bpe import encode_corpus
 from stratafold.llm.components import linked_groups, list_links
+from stratafold.llm.lookalike import canonical, same_look_pairs
 from stratafold.llm.setjoin import folder_contents, similar_sets
 from stratafold.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    files = same_look_pairs(table(spark, d, "files"), "file_id", "path")
+    compared = same_look_pairs(table(spark, d, "folder_compare"), "row_id", "relative_path", "compare_id")
+    return files.select(F.lit("files").alias("tbl"), "id_a", "id_b").unionByName(
+        compared.select(F.lit("folder_compare").alias("tbl"), "id_a", "id_b").distinct()
+    )
+
+
+def p1_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every path of files with its consistent form."""
+    return table(spark, d, "files").select("file_id", "path", canonical(F.col("path")).alias("form"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "sim_pairs").select(F.col("dir_a").alias("a"), F.col("dir_b").alias("b"))
     lists = list_links(table(spark, d, "dir_clusters"), "dirs")
@@ -26,7 +42,35 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pairs(spark, d).select("dir_a", "dir_b")
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def _mixture(spark: SparkSession, d: str, keep_source_shares: bool) -> tuple[DataFrame, DataFrame]:
+    sizes = mixing.corpus_sizes(table(spark, d, "documents"))
+    plan = mixing.mixture_budgets(sizes, table(spark, d, "mix_plans"), keep_source_shares)
+    return plan, mixing.draw(sizes, plan)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mixture with their number of uses."""
+    return _mixture(spark, d, True)[1]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share reached beside the share wanted."""
+    return mixing.shares(*_mixture(spark, d, True))
+
+
+def p7_shares_filled(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_shares, where sources with documents left make up for those without."""
+    return mixing.shares(*_mixture(spark, d, False))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
+    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
+}
 
 _SETS = """
 WITH g AS (SELECT digest, size, unnest(paths) AS path FROM file_groups WHERE digest IS NOT NULL),
