@@ -9,6 +9,7 @@ from stratafold.llm import mixing
 from stratafold.llm.bpe import encode_corpus
 from stratafold.llm.components import linked_groups, list_links
 from stratafold.llm.lookalike import canonical, same_look_pairs
+from stratafold.llm.mojibake import restore_encoding
 from stratafold.llm.setjoin import folder_contents, similar_sets
 from stratafold.sources.tables import table
 
@@ -67,9 +68,19 @@ def p7_shares_filled(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, d, False))
 
 
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The affected documents with their text restored where it can be."""
+    return restore_encoding(table(spark, d, "documents"), "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_restored(spark, d).select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
+    "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
 _SETS = """
