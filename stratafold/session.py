@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,18 @@ def release(*tables: DataFrame) -> None:
 
 def is_empty(df: DataFrame) -> bool:
     return len(df.head(1)) == 0
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, where their path may lack it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stratafold_shipped", False):
+        return
+    base = Path(__file__).resolve().parent.parent
+    if base.is_dir():
+        target = Path(tempfile.mkdtemp(prefix="stratafold-")) / "stratafold.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted((base / "stratafold").rglob("*.py")):
+                z.write(p, p.relative_to(base))
+        sc.addPyFile(str(target))
+    sc._stratafold_shipped = True
