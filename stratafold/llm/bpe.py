@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratafold.session import spread
+
 #: Where the public vocabularies lie; a parameter of every function that reads one.
 TOKENIZERS = "/opt/tokenizers"
 # The public pre-tokenization pattern of the byte_bpe vocabularies.
@@ -106,12 +108,6 @@ def _worker_encoder(key: str, ranks: dict[bytes, int]) -> BytePairEncoder:
     return _encoders[key]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it has fewer input splits than there are cores (a few small files); else unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def encoder_functions(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column], Column]]:
     """Column functions (encode, count, decode) for the vocabulary at ``path``, which only the driver reads: the ranks
     (some 50,000 short byte strings, a fixed size) go to the executors as a broadcast."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafold.session import cut
+from stratafold.session import cut, spread
 
 # Letters of other scripts drawn like a Latin letter, each line the letters and below it what they look like.
 _CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝ"
@@ -154,7 +154,7 @@ def same_look_pairs(rows: DataFrame, ident: str, text: str, *within: str) -> Dat
     paired, and entries only by such pairs; equal texts are never paired.
     """
     keys = list(within)
-    entries = rows.select(*keys, F.col(ident).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+    entries = spread(rows.select(*keys, F.col(ident).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL"))
     formed = entries.withColumn("f", canonical(F.col("t")))
     h = F.xxhash64("t")
     marks = formed.select(F.xxhash64(*keys, "f").alias("k"), h.alias("h"), F.hash("t").alias("g"))

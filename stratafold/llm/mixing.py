@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratafold.llm.bpe import TOKENIZERS, encoder_functions, spread
-from stratafold.session import cut
+from stratafold.llm.bpe import TOKENIZERS, encoder_functions
+from stratafold.session import cut, spread
 
 #: Leading bits of a document's seeded position: a leaf's cut is looked for among 2**BITS partial sums.
 BITS = 14
