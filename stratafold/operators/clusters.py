@@ -42,23 +42,37 @@ def folder_clusters(files: DataFrame, min_files: int = 0) -> DataFrame:
     return out.select("cluster", "dir", "dup_files", "total_files", percent.alias("percent"), "class_count", "size", "dup_file_count")
 
 
+def hash_classes(hashes: DataFrame) -> DataFrame:
+    """``(hash, rep)``: the smallest id of each hash; null hashes have none."""
+    return hashes.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("rep"))
+
+
 def near_hashes(hashes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
-    """``(a, b, distance)``, a < b: pairs of ``hashes(id, hash)`` that differ in at most ``radius`` bits.
+    """``(a, b, distance)``, a < b: pairs of representatives of ``hashes(id, hash)`` that differ in 1 to ``radius`` bits.
 
-    The bits are cut in ``radius + 1`` bands, so such a pair agrees in one band at least: an equality join on (band, value)
-    and an exact check, not all pairs. Null hashes have no pairs. Equal hashes are paired too.
+    Equal hashes are one class, whose smallest id represents it (``hash_classes``), so copies are never paired with
+    each other. The bits are cut in ``radius + 1`` bands, so a near pair agrees in one band at least: an equality join on
+    (band, value) and an exact check, not all pairs. It is kept at the first band it agrees in, which needs no distinct.
     """
     bands = radius + 1
-    edges = [round(k * bits / bands) for k in range(bands + 1)]
-    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("hash", s).bitwiseAND(F.lit((1 << (e - s)) - 1)).alias("v")) for k, (s, e) in enumerate(zip(edges, edges[1:]))])
-    rows = hashes.where("hash IS NOT NULL").select("id", "hash", F.explode(parts).alias("p")).select("id", "hash", "p.k", "p.v")
+    ends = [round(k * bits / bands) for k in range(bands + 1)]
+    mask = lambda w: -1 if w >= 64 else (1 << w) - 1
+    part = lambda h, k: F.shiftrightunsigned(h, ends[k]).bitwiseAND(F.lit(mask(ends[k + 1] - ends[k])).cast("bigint"))
+    parts = F.array(*[F.struct(F.lit(k).alias("band"), part("hash", k).alias("value")) for k in range(bands)])
+    rows = hash_classes(hashes).select(F.col("rep").alias("id"), "hash", F.explode(parts).alias("p")).select("id", "hash", "p.band", "p.value")
     l, r = rows.withColumnsRenamed({"id": "a", "hash": "ha"}), rows.withColumnsRenamed({"id": "b", "hash": "hb"})
-    close = l.join(r, ["k", "v"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= radius)
-    return close.select("a", "b", "distance").distinct()
+    close = l.join(r, ["band", "value"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= radius)
+    agree = F.array(*[part("ha", k) == part("hb", k) for k in range(bands)])
+    return close.where(F.array_position(agree, True) == F.col("band") + 1).select("a", "b", "distance")
 
 
 def lookalike_groups(hashes: DataFrame, radius: int) -> DataFrame:
-    """``(group_id, id)``: single-linkage groups over ``near_hashes``, named by their smallest id."""
-    near = near_hashes(hashes, radius).select("a", "b")
+    """``(group_id, id)``: single-linkage groups of two or more over equal and near hashes, named by their smallest id."""
+    known = hashes.where("hash IS NOT NULL").select("id", "hash")
+    classes = cut(hash_classes(known))
+    near = near_hashes(known, radius).select("a", "b")
     edges = cut(near.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(near.select("b", "a")))
-    return propagate_minimum(edges).select(F.col("label").alias("group_id"), "id")
+    labels = propagate_minimum(edges).select(F.col("id").alias("rep"), "label")
+    members = known.join(classes, "hash").join(labels, "rep", "left").select(F.coalesce("label", "rep").alias("group_id"), "id")
+    several = members.groupBy("group_id").count().where("count >= 2").select("group_id")
+    return members.join(several, "group_id", "left_semi").select("group_id", "id")

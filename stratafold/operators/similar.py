@@ -125,14 +125,14 @@ def compare_folders(pairs: DataFrame, files: DataFrame, keys: list[str]) -> Data
 
 
 def pair_difference(pairs: DataFrame, files: DataFrame, keys: list[str], cap: int = EVIDENCE) -> DataFrame:
-    """``(*keys, side, total, k, path, size)``: files of either side whose class isn't on the other, largest first, at most
+    """``(*keys, side, total, place, path, size)``: files of either side whose class isn't on the other, largest first, at most
     ``cap`` a side with the exact total. Unknown classes are equal to each other."""
     a, b = _sides(pairs, files, keys)
     only = _without(a, b, keys).withColumn("side", F.lit("a")).unionByName(_without(b, a, keys).withColumn("side", F.lit("b")))
     w = W.partitionBy(*keys, "side").orderBy(F.desc("size"), F.desc("path"))
     totals = only.groupBy(*keys, "side").agg(F.count("*").alias("total"))
-    ranked = only.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cap)
-    return ranked.join(totals, [*keys, "side"]).select(*keys, "side", "total", "k", "path", "size")
+    ranked = only.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
+    return ranked.join(totals, [*keys, "side"]).select(*keys, "side", "total", "place", "path", "size")
 
 
 def _without(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,19 +108,19 @@ def put_tags(tags: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFra
 
 
 def pair_rows(shared: DataFrame, totals: DataFrame, difference: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(*keys, kind, k, size, path_a, path_b, more)``: a pair's common contents (kind ``s``), files only in A (``a``) and only in B
-    (``b``), each followed by a row that says how many more there are (``ts``, ``ta``, ``tb``), if any. ``shared(*keys, k, size, path_a,
-    path_b)``, ``totals(*keys, shared_total)``, ``difference(*keys, side, total, k, path, size)``."""
+    """``(*keys, kind, place, size, path_a, path_b, more)``: a pair's common contents (kind ``s``), files only in A (``a``) and only in B
+    (``b``), each followed by a row that says how many more there are (``ts``, ``ta``, ``tb``), if any. ``shared(*keys, place, size, path_a,
+    path_b)``, ``totals(*keys, shared_total)``, ``difference(*keys, side, total, place, path, size)``."""
     null = lambda kind: F.lit(None).cast(kind)
-    rows = shared.select(*keys, F.lit("s").alias("kind"), "k", "size", "path_a", "path_b", null("bigint").alias("more"))
+    rows = shared.select(*keys, F.lit("s").alias("kind"), "place", "size", "path_a", "path_b", null("bigint").alias("more"))
     shown = shared.groupBy(*keys).agg(F.count("*").alias("shown"))
     rest = totals.join(shown, list(keys), "left").withColumn("more", F.col("shared_total") - F.coalesce("shown", F.lit(0))).where("more > 0")
-    marker = rest.select(*keys, F.lit("ts").alias("kind"), null("int").alias("k"), null("bigint").alias("size"), null("string").alias("path_a"), null("string").alias("path_b"), "more")
+    marker = rest.select(*keys, F.lit("ts").alias("kind"), null("int").alias("place"), null("bigint").alias("size"), null("string").alias("path_a"), null("string").alias("path_b"), "more")
     only = difference.select(
-        *keys, F.col("side").alias("kind"), "k", "size", F.when(F.col("side") == "a", F.col("path")).alias("path_a"), F.when(F.col("side") == "b", F.col("path")).alias("path_b"), null("bigint").alias("more")
+        *keys, F.col("side").alias("kind"), "place", "size", F.when(F.col("side") == "a", F.col("path")).alias("path_a"), F.when(F.col("side") == "b", F.col("path")).alias("path_b"), null("bigint").alias("more")
     )
     cut = difference.groupBy(*keys, "side").agg((F.max("total") - F.count("*")).alias("more")).where("more > 0")
-    cuts = cut.select(*keys, F.concat(F.lit("t"), "side").alias("kind"), null("int").alias("k"), null("bigint").alias("size"), null("string").alias("path_a"), null("string").alias("path_b"), "more")
+    cuts = cut.select(*keys, F.concat(F.lit("t"), "side").alias("kind"), null("int").alias("place"), null("bigint").alias("size"), null("string").alias("path_a"), null("string").alias("path_b"), "more")
     return rows.unionByName(marker).unionByName(only).unionByName(cuts)
 
 

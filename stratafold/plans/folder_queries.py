@@ -165,8 +165,8 @@ def f_folder_compare(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_SIDES},
     o AS (SELECT compare_id, 'a' AS side, path, size FROM sa WHERE NOT EXISTS (SELECT 1 FROM sb x WHERE x.compare_id = sa.compare_id AND x.class_id IS NOT DISTINCT FROM sa.class_id)
       UNION ALL SELECT compare_id, 'b', path, size FROM sb WHERE NOT EXISTS (SELECT 1 FROM sa x WHERE x.compare_id = sb.compare_id AND x.class_id IS NOT DISTINCT FROM sb.class_id)),
-    r AS (SELECT *, count(*) OVER (PARTITION BY compare_id, side) AS total, CAST(row_number() OVER (PARTITION BY compare_id, side ORDER BY size DESC NULLS LAST, path DESC) AS INT) AS k FROM o)
-    SELECT compare_id, side, total, k, path, size FROM r WHERE k <= 60""",
+    r AS (SELECT *, count(*) OVER (PARTITION BY compare_id, side) AS total, CAST(row_number() OVER (PARTITION BY compare_id, side ORDER BY size DESC NULLS LAST, path DESC) AS INT) AS place FROM o)
+    SELECT compare_id, side, total, place, path, size FROM r WHERE place <= 60""",
 )
 def f_pair_diff(spark: SparkSession, d: str) -> DataFrame:
     return similar.pair_difference(_compare_pairs(spark, d), I.files(spark, d), ["compare_id"])
@@ -216,7 +216,7 @@ def _hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), dhash(F.col("embedding"), 64, 1).alias("hash"))
 
 
-@query("f_near_hashes", f"WITH {_HASHES} SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INT) AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(xor(x.hash, y.hash)) <= {RADIUS}")
+@query("f_near_hashes", f"WITH {_HASHES}, c AS (SELECT hash, min(id) AS id FROM h GROUP BY 1) SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INT) AS distance FROM c x JOIN c y ON x.id < y.id WHERE bit_count(xor(x.hash, y.hash)) <= {RADIUS}")
 def f_near_hashes(spark: SparkSession, d: str) -> DataFrame:
     return clusters.near_hashes(_hashes(spark, d), RADIUS)
 

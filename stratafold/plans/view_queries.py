@@ -78,13 +78,13 @@ def p_tags(spark: SparkSession, d: str) -> DataFrame:
     "p_pair_rows",
     f"""WITH {_SIDES},
     fa AS (SELECT compare_id, class_id, max(size) AS size, min(path) AS path FROM sa WHERE class_id IS NOT NULL GROUP BY 1, 2), fb AS (SELECT compare_id, class_id, min(path) AS path FROM sb WHERE class_id IS NOT NULL GROUP BY 1, 2),
-    s AS (SELECT compare_id, fa.size, fa.path AS path_a, fb.path AS path_b, CAST(row_number() OVER (PARTITION BY compare_id ORDER BY fa.size DESC, class_id) AS INT) AS k, count(*) OVER (PARTITION BY compare_id) AS total FROM fa JOIN fb USING (compare_id, class_id)),
+    s AS (SELECT compare_id, fa.size, fa.path AS path_a, fb.path AS path_b, CAST(row_number() OVER (PARTITION BY compare_id ORDER BY fa.size DESC, class_id) AS INT) AS place, count(*) OVER (PARTITION BY compare_id) AS total FROM fa JOIN fb USING (compare_id, class_id)),
     o AS (SELECT compare_id, 'a' AS side, path, size FROM sa WHERE NOT EXISTS (SELECT 1 FROM sb x WHERE x.compare_id = sa.compare_id AND x.class_id IS NOT DISTINCT FROM sa.class_id)
       UNION ALL SELECT compare_id, 'b', path, size FROM sb WHERE NOT EXISTS (SELECT 1 FROM sa x WHERE x.compare_id = sb.compare_id AND x.class_id IS NOT DISTINCT FROM sb.class_id)),
-    r AS (SELECT *, count(*) OVER (PARTITION BY compare_id, side) AS total, CAST(row_number() OVER (PARTITION BY compare_id, side ORDER BY size DESC NULLS LAST, path DESC) AS INT) AS k FROM o)
-    SELECT compare_id, 's' AS kind, k, size, path_a, path_b, CAST(NULL AS BIGINT) AS more FROM s WHERE k <= 5
+    r AS (SELECT *, count(*) OVER (PARTITION BY compare_id, side) AS total, CAST(row_number() OVER (PARTITION BY compare_id, side ORDER BY size DESC NULLS LAST, path DESC) AS INT) AS place FROM o)
+    SELECT compare_id, 's' AS kind, place, size, path_a, path_b, CAST(NULL AS BIGINT) AS more FROM s WHERE place <= 5
     UNION ALL SELECT compare_id, 'ts', NULL, NULL, NULL, NULL, max(total) - 5 FROM s GROUP BY compare_id HAVING max(total) > 5
-    UNION ALL SELECT compare_id, side, k, size, CASE WHEN side = 'a' THEN path END, CASE WHEN side = 'b' THEN path END, NULL FROM r WHERE k <= 5
+    UNION ALL SELECT compare_id, side, place, size, CASE WHEN side = 'a' THEN path END, CASE WHEN side = 'b' THEN path END, NULL FROM r WHERE place <= 5
     UNION ALL SELECT compare_id, 't' || side, NULL, NULL, NULL, NULL, max(total) - 5 FROM r GROUP BY compare_id, side HAVING max(total) > 5""",
 )
 def p_pair_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +95,9 @@ def p_pair_rows(spark: SparkSession, d: str) -> DataFrame:
     both = first(a).withColumnRenamed("path", "path_a").join(first(b).select("compare_id", "class_id", F.col("path").alias("path_b")), ["compare_id", "class_id"])
     from pyspark.sql import Window as W
 
-    ranked = both.withColumn("k", F.row_number().over(W.partitionBy("compare_id").orderBy(F.desc("size"), "class_id")))
+    ranked = both.withColumn("place", F.row_number().over(W.partitionBy("compare_id").orderBy(F.desc("size"), "class_id")))
     totals = both.groupBy("compare_id").agg(F.count("*").alias("shared_total"))
-    return views.pair_rows(ranked.where("k <= 5"), totals, similar.pair_difference(pairs, rows, ["compare_id"], 5), ["compare_id"])
+    return views.pair_rows(ranked.where("place <= 5"), totals, similar.pair_difference(pairs, rows, ["compare_id"], 5), ["compare_id"])
 
 
 @query(
