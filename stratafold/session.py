@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
-import zipfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Executors' heap that one broadcast table may take at most, in bytes of estimated plan size.
-BROADCAST_LIMIT = 32 << 20
+_own: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a fresh temporary one only where that is unset."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("stratafold.scratch", None)
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a fresh temporary one in local mode; a
+    cluster must name one."""
+    setting = "spark.checkpoint.dir"
+    path = spark.conf.get(setting, None) or spark.sparkContext.getConf().get(setting) or spark.conf.get("stratafold.scratch", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {setting} to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="stratafold-")
         spark.conf.set("stratafold.scratch", path)
     return path.rstrip("/")
@@ -27,21 +30,42 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: its lineage ends there, and it survives the loss
     of executors. The columns keep their names and types."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratafold/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stratafold_path = path
     return out
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder within the shared one; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/stratafold/{spark.sparkContext.applicationId}"
+    if path not in _own:
+        _own.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        sc = spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone; its tables stay in the shared folder then
+        pass
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that :func:`cut` wrote in this application; results not yet written can't be computed after that."""
+    _delete(spark, _own_dir(spark))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`cut` that no later plan reads."""
     for df in tables:
         path = getattr(df, "_stratafold_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
