@@ -76,17 +76,18 @@ def linked_groups(links: DataFrame) -> DataFrame:
 def _peel(edges: DataFrame, hub: int) -> DataFrame:
     """The vertices that breadth-first rounds from ``hub`` reach."""
     spark = edges.sparkSession
-    frontier = spark.range(hub, hub + 1)
+    before = frontier = spark.range(hub, hub + 1)
     layers = [frontier]
-    seen = frontier
     for _ in range(PEEL_ROUNDS):
         step = edges.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti"))
-        if is_empty(frontier):
-            release(frontier)
+        # neighbours of a layer lie in it, in the one before and in the next
+        after = cut(step.join(before.union(frontier), "id", "left_anti"))
+        if is_empty(after):
+            release(after)
             break
-        layers.append(frontier)
-        seen = layers[0]
-        for layer in layers[1:]:
-            seen = seen.union(layer)
-    return seen
+        layers.append(after)
+        before, frontier = frontier, after
+    reached = layers[0]
+    for layer in layers[1:]:
+        reached = reached.union(layer)
+    return reached
