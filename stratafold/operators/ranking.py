@@ -131,13 +131,15 @@ def bottom_sample(rows: DataFrame, group: str, key: str, k: int = 8) -> DataFram
 
 
 def relocation_vote(samples: DataFrame, current: DataFrame) -> DataFrame:
-    """``(root, candidate, hits, accepted)`` for ``samples(root, candidate, moved)``: how many sampled paths exist under each
-    candidate for a moved root. Accepted is the best if it wins clearly: of one sample it has it and no other has; if no other has
-    any, it has two; else three quarters and a lead of two."""
-    hit = samples.join(current.select(F.col("path").alias("moved"), F.lit(1).alias("h")), "moved", "left")
-    votes = hit.groupBy("root", "candidate").agg(F.sum(F.coalesce("h", F.lit(0))).alias("hits"), F.count("*").alias("n"))
+    """``(root, candidate, hits, accepted)`` for ``samples(root, rel)``, paths below a moved root, and ``current(candidate, rel)``, what lies
+    below each possible new place: how many samples each candidate that has any holds. Accepted is the best if it wins clearly:
+    of one sample it has it and no other has; if no other has any, it has two; else three quarters and a lead of two. Samples and
+    places meet by an equality join on the path below, not as all combinations."""
+    sample = samples.select("root", "rel").distinct()
+    sizes = sample.groupBy("root").agg(F.count("*").alias("n"))
+    votes = sample.join(current.select("candidate", "rel").distinct(), "rel").groupBy("root", "candidate").agg(F.count("*").alias("hits"))
     w = W.partitionBy("root").orderBy(F.desc("hits"), "candidate")
-    ranked = votes.withColumn("r", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("hits").over(w), F.lit(0)))
+    ranked = votes.join(sizes, "root").withColumn("r", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("hits").over(w), F.lit(0)))
     n, best, second = F.col("n"), F.col("hits"), F.col("next")
     clear = F.when(n == 1, (best == 1) & (second == 0)).when(second == 0, best >= 2).otherwise((best * 4 >= n * 3) & (best - second >= 2))
     return ranked.select("root", "candidate", "hits", ((F.col("r") == 1) & clear).alias("accepted"))

@@ -138,22 +138,20 @@ def h_bottomk_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "h_root_vote",
-    f"""WITH {INV}, s AS (SELECT dir, path, row_number() OVER (PARTITION BY dir ORDER BY sha256(path), path) AS place FROM inv WHERE starts_with(path, '/Volumes/')),
-    v AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:3], '/') AS volume FROM inv WHERE starts_with(path, '/Volumes/')),
-    m AS (SELECT array_to_string(string_split(s.path, '/')[1:3], '/') AS root, volume AS candidate, volume || substr(s.path, length(array_to_string(string_split(s.path, '/')[1:3], '/')) + 1) AS moved FROM s, v WHERE place <= 8),
-    c AS (SELECT root, candidate, count(i.path) AS hits, count(*) AS n FROM m LEFT JOIN (SELECT DISTINCT path FROM inv) i ON i.path = moved GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER w AS r, coalesce(lead(hits) OVER w, 0) AS second FROM c WINDOW w AS (PARTITION BY root ORDER BY hits DESC, candidate))
+    f"""WITH {INV}, p AS (SELECT dir, path, array_to_string(string_split(path, '/')[1:3], '/') AS volume FROM inv WHERE starts_with(path, '/Volumes/')),
+    s AS (SELECT DISTINCT volume AS root, substr(path, length(volume) + 1) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY sha256(path), path) AS place FROM p) WHERE place <= 8),
+    z AS (SELECT root, count(*) AS n FROM s GROUP BY 1), c AS (SELECT DISTINCT volume AS candidate, substr(path, length(volume) + 1) AS rel FROM p),
+    v AS (SELECT root, candidate, count(*) AS hits FROM s JOIN c USING (rel) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER w AS r, coalesce(lead(hits) OVER w, 0) AS second FROM v JOIN z USING (root) WINDOW w AS (PARTITION BY root ORDER BY hits DESC, candidate))
     SELECT root, candidate, hits, r = 1 AND CASE WHEN n = 1 THEN hits = 1 AND second = 0 WHEN second = 0 THEN hits >= 2 ELSE hits * 4 >= n * 3 AND hits - second >= 2 END AS accepted FROM r""",
 )
 def h_root_vote(spark: SparkSession, d: str) -> DataFrame:
     from stratafold.functions.paths import volume
 
-    rows = I.files(spark, d).where("startswith(path, '/Volumes/')").select("dir", "path", volume(F.col("path")).alias("volume"))
-    sample = R.bottom_sample(rows, "dir", "path").select("path", F.col("volume").alias("root"))
-    candidates = rows.select(F.col("volume").alias("candidate")).distinct()
-    # each sample once per mounted volume, of which a machine has some dozens
-    moved = sample.crossJoin(candidates).select("root", "candidate", F.concat("candidate", F.expr("substr(path, length(root) + 1)")).alias("moved"))
-    return R.relocation_vote(moved, rows.select("path").distinct())
+    v = volume(F.col("path"))
+    rows = cut(I.files(spark, d).where("startswith(path, '/Volumes/')").select("dir", "path", v.alias("volume"), F.substring("path", F.length(v) + 1, F.length("path")).alias("rel")))
+    sample = R.bottom_sample(rows, "dir", "path").select(F.col("volume").alias("root"), "rel")
+    return R.relocation_vote(sample, rows.select(F.col("volume").alias("candidate"), "rel"))
 
 
 @query(

@@ -226,10 +226,9 @@ def test_running_totals(spark):
 
 
 def test_votes_and_busy_time(spark):
-    vote = lambda hits, n: [("r", x, f"/{x}{k}" if k < h else f"/none{x}{k}") for x, h in hits.items() for k in range(n)]
-    cur = spark.createDataFrame([(f"/{x}{k}",) for x in "ab" for k in range(8)], "path string")
     for hits, n, winner in (({"a": 1, "b": 0}, 1, {"a"}), ({"a": 1, "b": 1}, 1, set()), ({"a": 1, "b": 0}, 4, set()), ({"a": 2, "b": 0}, 4, {"a"}), ({"a": 6, "b": 4}, 8, {"a"}), ({"a": 6, "b": 5}, 8, set()), ({"a": 5, "b": 1}, 8, set())):
-        s = spark.createDataFrame(vote(hits, n), "root string, candidate string, moved string")
+        cur = spark.createDataFrame([(x, f"/f{k}") for x, h in hits.items() for k in range(h)] * 2 + [("z", "/else")], "candidate string, rel string")
+        s = spark.createDataFrame([("r", f"/f{k}") for k in range(n)] * 2, "root string, rel string")
         assert {x["candidate"] for x in ranking.relocation_vote(s, cur).where("accepted").collect()} == winner
     i = spark.createDataFrame([("d", 0, 10, 1), ("d", 5, 12, 1), ("d", 20, 21, 1), ("d", 2, 3, 1), ("d", 9, 4, 1), ("e", None, 4, 1)], "g string, start bigint, end bigint, bytes bigint")
     assert {(x["g"], x["busy"], x["bytes"]) for x in ranking.busy_time(i, "g").collect()} == {("d", 13, 5)}
