@@ -123,3 +123,25 @@ def longest_root(paths: DataFrame, roots: DataFrame, column: str = "path") -> Da
     return paths.join(best, column, "left")
 
 
+
+
+def state_digests(folders: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(dir, digest)`` over the identity of every entry below a folder instead of its content: two calls tell whether anything was
+    touched in between. ``entries(dir, name, size, mtime_ns, ctime_ns, dev, ino)`` may hold more columns, which don't count."""
+    identity = F.to_json(F.struct("dev", "ino", "size", "mtime_ns", "ctime_ns"))
+    return folder_digests(folders, entries.select("dir", "name", identity.alias("class_id")))
+
+
+def content_digests(folders: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(dir, digest, files, bytes)`` by the digests of all contents, unique ones too. Hard links to one inode are hashed alike
+    and count once in the bytes. ``entries(dir, name, size, dev, ino, digest)``; an entry without digest makes its folders null."""
+    d = folder_digests(folders, entries.select("dir", "name", F.col("digest").alias("class_id")))
+    one = entries.groupBy("dev", "ino").agg(F.min("dir").alias("dir"), F.max("size").alias("size"))
+    per = entries.groupBy("dir").agg(F.count("*").alias("n"))
+    up = lambda x: x.withColumn("dir", F.explode(ancestors(F.col("dir"), include_self=True)))
+    files = up(per).groupBy("dir").agg(F.sum("n").alias("files"))
+    # an inode counts once in every folder that holds one of its names
+    held = up(entries.select("dir", "dev", "ino").distinct()).distinct().join(one.select("dev", "ino", "size"), ["dev", "ino"])
+    size = held.groupBy("dir").agg(F.sum("size").alias("bytes"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return d.join(files, "dir", "left").join(size, "dir", "left").select("dir", "digest", zero("files"), zero("bytes"))

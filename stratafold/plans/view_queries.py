@@ -185,3 +185,26 @@ def e_order_folders(spark: SparkSession, d: str) -> DataFrame:
     groups = tree.identical_folders(tree.folder_digests(I.folders(rows), rows), tree.subtree_sums(rows))
     first = groups.groupBy("digest").agg(F.min("dir").alias("first"))
     return groups.join(first, "digest").select("first", "dir", "n_files", "copies")
+
+
+@query("m_sanitize")
+def m_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    """Properties of events and texts of documents without sensitive parts (tested on fixed cases)."""
+    from stratafold.functions.sanitize import sanitize_json
+
+    events = table(spark, d, "events").select(F.lit("events").alias("tbl"), F.col("event_id").alias("id"), "props")
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), F.col("text").alias("props"))
+    return events.unionByName(docs).select("tbl", "id", sanitize_json(F.col("props")).alias("clean"))
+
+
+@query(
+    "e_state_digests",
+    f"""WITH {INV}, a AS (SELECT above AS dir, string_agg(substr(path, length(above) + 2) || '|' || coalesce(CAST(dev AS VARCHAR), '') || '|' || coalesce(CAST(ino AS VARCHAR), '') || '|' || coalesce(CAST(size AS VARCHAR), '') || '|' || coalesce(CAST(mtime_ns AS VARCHAR), '') || '|' || coalesce(CAST(ctime_ns AS VARCHAR), ''), chr(10) ORDER BY path) AS t
+      FROM (SELECT i.*, array_to_string(parts[1:k], '/') AS above FROM (SELECT *, string_split(path, '/') AS parts FROM inv) i, unnest(range(2, len(parts))) AS t(k)) GROUP BY 1)
+    SELECT count(*) AS folders, count(DISTINCT t) AS states FROM a""",
+)
+def e_state_digests(spark: SparkSession, d: str) -> DataFrame:
+    """How many folders there are and how many different states they have."""
+    rows = cut(I.files(spark, d))
+    folders = I.folders(rows).withColumn("ok", F.lit(True))
+    return tree.state_digests(folders, rows).agg(F.count("*").alias("folders"), F.countDistinct("digest").alias("states"))
