@@ -35,6 +35,11 @@ def _h(*parts: Column | str) -> Column:
     return F.xxhash64(*parts)
 
 
+def _child(node: Column) -> Column:
+    """The node that the token ``t`` leads to: that of the path's set of tokens, in whatever order they came."""
+    return node.bitwiseXOR(_h(F.lit("child"), "t"))
+
+
 def _unit(h: Column) -> Column:
     """A hash as a number from 0 to 1."""
     return F.shiftrightunsigned(h, 11) * F.lit(2.0**-53)
@@ -105,7 +110,7 @@ def _search(tokens: DataFrame, maps: DataFrame, p: ChosenPath, share: float) ->
     chance = lambda n: F.lit(p.tokens) / n
     forest = tokens.select(F.explode(F.sequence(F.lit(1), F.lit(p.trees))).alias("tree"), "id", "n", "t")
     level = forest.where(_unit(_h("tree", "t")) < chance(F.col("n"))).select(
-        _h("tree", F.lit(0), "t").alias("node"), "id", "n", F.array("t").alias("path")
+        _child(_h(F.lit("root"), "tree")).alias("node"), "id", "n", F.array("t").alias("path")
     )
     for depth in range(1, p.depth + 1):
         here = cut(level)
@@ -127,7 +132,7 @@ def _search(tokens: DataFrame, maps: DataFrame, p: ChosenPath, share: float) ->
         further = wide.join(tokens.select("id", "t"), "id").where(~F.array_contains("path", F.col("t")))
         level = (
             further.where(_unit(_h("node", "t")) < chance(F.col("n") - depth))
-            .select((F.col("node").bitwiseXOR(_h(F.lit("child"), "t"))).alias("node"), "id", "n", F.array_append("path", F.col("t")).alias("path"))
+            .select(_child(F.col("node")).alias("node"), "id", "n", F.array_append("path", F.col("t")).alias("path"))
             .dropDuplicates(["node", "id"])
         )
     out = pairs[0]
