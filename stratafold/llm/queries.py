@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every path of files with its consistent form."""
-    return table(spark, d, "files").select("file_id", "path", canonical(F.col("path")).alias("form"))
+    return table(spark, d, "files").select("file_id", "path").distinct().select("file_id", "path", canonical(F.col("path")).alias("form"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
