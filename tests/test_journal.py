@@ -73,6 +73,15 @@ def test_sanitized_documents(spark):
     assert got == [clean_json(json.dumps(doc)), '"no json, token=<REDACTED>"', None, '""']
 
 
+def test_sanitized_collections_of_up_to_2000_entries():
+    for n in (1_001, 1_999):
+        assert json.loads(clean_json(json.dumps(list(range(n))))) == list(range(n))
+        names = {f"n{k}": k for k in range(n)}
+        assert json.loads(clean_json(json.dumps(names))) == names
+    assert json.loads(clean_json(json.dumps([0] * 2_001)))[-2:] == ["<collection-truncated>"] * 2
+    assert json.loads(clean_json(json.dumps([0] * 2_000))) == [0] * 1_999 + ["<collection-truncated>"]
+
+
 def test_state_and_content_digests(spark):
     a = files(spark, [("/A/f", 3, None), ("/A/s/g", 4, None), ("/B/f", 3, None)])
     ok = I.folders(a).withColumn("ok", F.lit(True))
