@@ -58,6 +58,11 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d, True)[1]
 
 
+def p7_mix_filled(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_mix, where sources with documents left make up for those without."""
+    return _mixture(spark, d, False)[1]
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share reached beside the share wanted."""
     return mixing.shares(*_mixture(spark, d, True))
@@ -79,7 +84,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
-    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
+    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_mix_filled": p7_mix_filled, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
     "p8_found": p8_found, "p8_restored": p8_restored,
 }
 

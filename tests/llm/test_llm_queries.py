@@ -40,3 +40,13 @@ def test_mixtures(spark):
     for r in table:
         most = r["available_tokens"] * r["max_repeats"]
         assert r["reached_tokens"] <= most and r["most_uses"] <= max(r["max_repeats"], 0)
+
+
+def test_documents_of_the_filled_mixtures(spark):
+    drawn = Counter()
+    for r in queries.QUERIES["p7_mix_filled"](spark, SF).collect():
+        drawn[r["mix_name"], r["source"]] += r["tokens"] * r["uses"]
+    table = {(r["mix_name"], r["source"]): r["reached_tokens"] for r in queries.QUERIES["p7_shares_filled"](spark, SF).collect()}
+    assert drawn == {k: n for k, n in table.items() if n}
+    kept = {(r["mix_name"], r["source"]): r["reached_tokens"] for r in queries.QUERIES["p7_shares"](spark, SF).collect()}
+    assert table != kept
