@@ -50,14 +50,14 @@ def tables() -> tuple[dict[str, str], set[str], list[str]]:
     maybe: set[str] = set()
     dropped: list[str] = []
     for code in range(0x110000):
-        if 0xD800 <= code <= 0xDFFF or 0xE000 <= code <= 0xF8FF or code >= 0xF0000 or 0x20000 <= code <= 0x323AF:
+        if 0xD800 <= code <= 0xDFFF or 0xE000 <= code <= 0xF8FF or code >= 0xF0000 or 0x20000 <= code < 0x2F800 or 0x2FA20 <= code <= 0x323AF:
             continue
         c = chr(code)
         kind = unicodedata.category(c)
         if kind == "Cn":
             continue
         if kind == "Cf" or 0xFE00 <= code <= 0xFE0E or 0xE0100 <= code <= 0xE01EF or code in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0):
-            if c not in _JOINERS and not 0x600 <= code <= 0x8FF and not 0x110BD <= code <= 0x1D17A:
+            if c not in _JOINERS and (code == 0x61C or not 0x600 <= code <= 0x8FF) and not 0x110BD <= code <= 0x1D17A:
                 dropped.append(c)
             continue
         form = c
@@ -100,21 +100,23 @@ def _patterns():
     # a segment: the character before, all that may combine with it, up to the next stable character
     segment = regex.compile(f"(?s).?[{python(_as_class(maybe))}]+")
     joiner = regex.compile(f"(?<![{_JOINING}])[{_JOINERS}]|[{_JOINERS}](?![{_JOINING}])")
+    # the emoji style shows after an emoji, and on the keys that U+20E3 makes
+    style = regex.compile(r"(?<!\p{Emoji})\ufe0f|(?<=[0-9#*])\ufe0f(?!\u20e3)")
     single = str.maketrans({k: v for k, v in change.items()})
     letters = str.maketrans(_letters())
-    return drop, joiner, segment, single, letters
+    return drop, style, joiner, segment, single, letters
 
 
 def canonical_text(text: str) -> str:
     """The consistent form of ``text``.
 
-    Characters without a look go (joiners stay within scripts and emoji whose look they change); every space is a plain
+    Characters without a look go (joiners stay within scripts and emoji whose look they change, U+FE0F after emoji); every space is a plain
     space; wide and narrow forms, ligatures and look-alike letters become the Latin letters they look like. The
     quick-check properties then isolate the segments that are not surely composed; only those are normalized, each with
     the character before it, and spliced between the unchanged rest. Case, accents, punctuation and digits stay.
     """
-    drop, joiner, segment, single, letters = _patterns()
-    text = joiner.sub("", drop.sub("", text)).translate(single)
+    drop, style, joiner, segment, single, letters = _patterns()
+    text = joiner.sub("", style.sub("", drop.sub("", text))).translate(single)
     if unicodedata.is_normalized("NFC", text) and segment.search(text) is None:
         return text
 
@@ -133,7 +135,7 @@ def canonical(text: Column) -> Column:
     change, maybe, dropped = tables()
     single = {k: v for k, v in change.items() if len(v) == 1}
     longer = [k for k, v in change.items() if len(v) > 1]
-    unstable = text.rlike(f"[{_as_class({*maybe, *longer, *_JOINERS}, gap=COARSE)}]")
+    unstable = text.rlike(f"[{_as_class({*maybe, *longer, *_JOINERS, "\ufe0f"}, gap=COARSE)}]")
     keys = "".join(single)
 
     @F.arrow_udf(T.StringType())

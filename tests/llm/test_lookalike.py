@@ -79,3 +79,14 @@ def test_equal_texts_of_a_hot_key_make_no_pairs(spark):
     more = df.union(spark.createDataFrame([(5000, "same text")], "id bigint, t string"))
     assert same_look_pairs(more, "id", "t").count() == 3000
     assert same_look_pairs(df.limit(0), "id", "t").count() == 0
+
+
+def test_supplement_ideographs_marks_and_emoji_style(spark):
+    same = [("\U0002f800", "\u4e3d"), ("x\U0002fa1dy", "x\U0002a600y"), ("\u0627\u061c\u0628", "\u0627\u0628"), ("a\ufe0fb", "ab"), ("1\ufe0f", "1"), ("a\ufe0f\u200db", "ab")]
+    kept = ["\u2764\ufe0f", "1\ufe0f\u20e3", "\u2764\ufe0f\u200d\U0001f525"]
+    df = spark.createDataFrame([(t,) for t in [*(x for p in same for x in p), *kept]], "t string")
+    form = dict(df.select("t", canonical(F.col("t"))).collect())
+    for a, b in same:
+        assert canonical_text(a) == canonical_text(b) == b == form[a] == form[b]
+    for t in kept:
+        assert canonical_text(t) == form[t] == t
