@@ -27,10 +27,12 @@ def sampled_folders(dup: DataFrame) -> DataFrame:
     return small.unionByName(large.where(F.array_contains(steps, F.col("k").cast("bigint"))).select("class_id", "dir"))
 
 
-def candidate_pairs(dup: DataFrame, digests: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+def candidate_pairs(dup: DataFrame, digests: DataFrame, ignored: DataFrame | None = None, sampled: bool = True) -> DataFrame:
     """(dir_a, dir_b): folders that share a class, and their ancestors at equal steps above them until these meet, without
-    pairs one of which holds the other, ignored pairs and folders with equal trees."""
-    s = sampled_folders(dup)
+    pairs one of which holds the other, ignored pairs and folders with equal trees. With ``sampled`` only
+    :func:`sampled_folders` count, so pairs that share nothing but classes in more than ``FANOUT`` folders can be missed;
+    without, all pairs come out, whose number grows with the square of the folders of a class."""
+    s = sampled_folders(dup) if sampled else dup.select("class_id", "dir").distinct()
     a, b = s.withColumnRenamed("dir", "a"), s.withColumnRenamed("dir", "b")
     base = a.join(b, "class_id").where("a < b").select("a", "b").distinct()
     up = lambda c: F.reverse(ancestors(F.col(c), include_self=True))

@@ -127,6 +127,14 @@ def test_fan_out_is_bounded(spark):
     assert kept == [f"/d{i * 75 // 63:03}" for i in range(64)]
 
 
+def test_candidates_without_the_bound_are_all_pairs(spark):
+    rows = [row for k in range(70) for row in ((f"/d{k:03}/f", 100, c(100, "a")), (f"/d{k:03}/own", 7, f"u:{k}"))]
+    df = files(spark, rows)
+    found = similar.candidate_pairs(I.duplicates(df), digests(spark, df), sampled=False)
+    assert {(r["dir_a"], r["dir_b"]) for r in found.collect()} == {(f"/d{i:03}", f"/d{j:03}") for i in range(70) for j in range(i + 1, 70)}
+    assert similar.candidate_pairs(I.duplicates(df), digests(spark, df)).count() == 64 * 63 // 2
+
+
 def test_compare_diff_share_and_merge(spark):
     a = [("/a/same", 10, c(10, "a")), ("/a/diff", 10, c(10, "b")), ("/a/moved", 7, c(7, "c")), ("/a/mine", 5, "u:1"), ("/a/unread", 1, None)]
     b = [("/b/same", 10, c(10, "a")), ("/b/diff", 10, c(10, "d")), ("/b/x/there", 7, c(7, "c")), ("/b/yours", 3, "u:2"), ("/b/unread", 1, None)]
