@@ -307,27 +307,59 @@ def _streams(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("event_type IS NOT NULL").select("event_type", "event_id", t.alias("t"), "value")
 
 
-@query("k_progress")
+_EV = "e AS (SELECT event_type, event_id, epoch_us(ts) / 1e6 AS t, value FROM events WHERE event_type IS NOT NULL)"
+
+
+@query(
+    "k_progress",
+    f"""WITH RECURSIVE {_EV}, f AS (SELECT event_type, min((t, event_id)) AS at FROM e GROUP BY 1),
+    r AS (SELECT event_type, at[1] AS t, at[2] AS event_id FROM f
+      UNION ALL SELECT event_type, at[1], at[2] FROM (SELECT r.event_type, min((e.t, e.event_id)) AS at FROM r JOIN e ON e.event_type = r.event_type AND e.t - r.t >= 60.0 GROUP BY 1, r.t))
+    SELECT event_type, event_id, t FROM r""",
+)
 def k_progress(spark: SparkSession, d: str) -> DataFrame:
     rows = _streams(spark, d)
     out = folds.fold_streams(rows, "event_type", ["t", "event_id"], lambda: folds.ProgressLimiter(60.0), lambda s, r: s.step(r.t, r.event_id, -1), "emitted boolean")
     return out.where("emitted").select("event_type", "event_id", "t")
 
 
-@query("k_remaining_time")
+@query(
+    "k_remaining_time",
+    f"""WITH {_EV}, s AS (SELECT *, event_id < lag(event_id) OVER w OR lag(event_id) OVER w IS NULL AS begins, lag(event_id) OVER w AS d FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)),
+    u AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY event_type ORDER BY t, event_id) AS run, begins OR event_id <> d AS sample FROM s),
+    k AS (SELECT *, sum(CAST(sample AS INT)) OVER (PARTITION BY event_type, run ORDER BY t, event_id) AS k, first_value(t) OVER (PARTITION BY event_type, run ORDER BY t, event_id) AS t_first FROM u),
+    c AS (SELECT event_type, run, k, t, event_id AS d FROM k WHERE sample),
+    j AS (SELECT k.*, a.t AS t0, a.d AS d0, b.t AS t1 FROM k JOIN c a ON (a.event_type, a.run, a.k) = (k.event_type, k.run, greatest(1, k.k - 7)) JOIN c b ON (b.event_type, b.run, b.k) = (k.event_type, k.run, k.k))
+    SELECT event_type, event_id, CASE WHEN k >= 3 AND t - t_first >= 1.5 AND event_id < 1000000000 AND t1 > t0 AND event_id > d0 THEN (1000000000 - event_id) * (t1 - t0) / (event_id - d0) END AS remaining FROM j""",
+)
 def k_remaining_time(spark: SparkSession, d: str) -> DataFrame:
-    rows = _streams(spark, d)
-    out = folds.fold_streams(rows, "event_type", ["t", "event_id"], folds.RemainingTime, lambda s, r: s.step(r.t, r.event_id, 10**9), "remaining double")
-    return out.select("event_type", "event_id", "remaining")
+    rows = _streams(spark, d).withColumn("all", F.lit(10**9))
+    return folds.remaining_time(rows, "event_type", ["t", "event_id"], "t", "event_id", "all").select("event_type", "event_id", "remaining")
 
 
-@query("k_hysteresis")
+@query(
+    "k_hysteresis",
+    f"""WITH {_EV}, p AS (SELECT *, row_number() OVER w AS k, CASE WHEN value >= 60 THEN 1 WHEN value <= 57 THEN 0 END AS mark FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)),
+    q AS (SELECT *, max(CASE WHEN mark IS NOT NULL THEN k * 2 + mark END) OVER w AS decided, max(CASE WHEN value IS NOT NULL THEN k END) OVER w AS seen FROM p WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id))
+    SELECT event_type, event_id, coalesce(decided % 2 = 1, false) AND k - coalesce(seen, 0) <= 3 AS hot FROM q""",
+)
 def k_hysteresis(spark: SparkSession, d: str) -> DataFrame:
-    out = folds.fold_streams(_streams(spark, d), "event_type", ["t", "event_id"], lambda: folds.Hysteresis(60.0), lambda s, r: s.step(r.value), "hot boolean")
-    return out.select("event_type", "event_id", "hot")
+    return folds.hot_flags(_streams(spark, d), "event_type", ["t", "event_id"], "value", 60.0).select("event_type", "event_id", "hot")
 
 
-@query("k_concurrency")
+@query(
+    "k_concurrency",
+    f"""WITH RECURSIVE {_EV}, v AS (SELECT event_type, event_id, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS k FROM e),
+    r AS (SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, 2 AS level, CAST(NULL AS DOUBLE) AS smooth, CAST(NULL AS DOUBLE) AS trial, 0 AS rest, 0 AS failures FROM e
+      UNION ALL
+      SELECT event_type, k, event_id,
+        CASE WHEN v IS NULL THEN level WHEN trial IS NOT NULL THEN CASE WHEN trial = 0 OR s / trial >= 1.05 THEN level ELSE greatest(1, level - 1) END WHEN rest = 0 AND level < 16 THEN level + 1 ELSE level END,
+        s, CASE WHEN v IS NULL THEN trial WHEN trial IS NULL AND rest = 0 AND level < 16 THEN s END,
+        CASE WHEN v IS NULL THEN rest WHEN trial IS NOT NULL THEN CASE WHEN trial = 0 OR s / trial >= 1.05 THEN 0 ELSE least(32, 2 << least(10, failures + 1)) END ELSE greatest(0, rest - 1) END,
+        CASE WHEN v IS NULL OR trial IS NULL THEN failures WHEN trial = 0 OR s / trial >= 1.05 THEN 0 ELSE failures + 1 END
+      FROM (SELECT r.* EXCLUDE (k, event_id, smooth), v.k, v.event_id, v.v, CASE WHEN v.v IS NULL THEN r.smooth WHEN r.smooth IS NULL THEN v.v ELSE (r.smooth + v.v) / 2 END AS s FROM r JOIN v ON v.event_type = r.event_type AND v.k = r.k + 1))
+    SELECT event_type, event_id, level FROM r WHERE k > 0""",
+)
 def k_concurrency(spark: SparkSession, d: str) -> DataFrame:
     out = folds.fold_streams(_streams(spark, d), "event_type", ["t", "event_id"], folds.HillClimb, lambda s, r: s.step(r.value), "level int")
     return out.select("event_type", "event_id", "level")

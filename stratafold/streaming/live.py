@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stratafold.operators.funnel import cached_digests
 from stratafold.sources.stores import read_cache, upsert_cache
+from stratafold.streaming.folds import remaining_of_batch
 
 
 def stream_inventory(spark: SparkSession, folder: str, schema: Any, files_per_trigger: int = 8) -> DataFrame:
@@ -60,6 +61,25 @@ def stateful_fold(stream: DataFrame, key: str, order: list[str], start: Callable
     return stream.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def remaining_stream(stream: DataFrame, key: str, t: str, done: str, total: str) -> DataFrame:
+    """``(key, t, done, total, remaining)``: :func:`stratafold.streaming.folds.remaining_time` over a stream. The state of a key is a
+    dozen readings at most. Rows with a null time or count are no readings and give none."""
+    import pickle
+
+    kind = lambda c: stream.schema[c].dataType.simpleString()
+    schema = f"`{key}` {kind(key)}, t double, done bigint, total bigint, remaining double"
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["t", "done"], kind="stable", ignore_index=True)
+        kept = pickle.loads(state.get[0]) if state.exists else rows.iloc[:0]
+        left, keep = remaining_of_batch(kept[["t", "done", "total"]], rows[["t", "done", "total"]])
+        state.update((pickle.dumps(keep),))
+        yield pd.DataFrame({key: [k[0]] * len(rows), "t": rows["t"], "done": rows["done"], "total": rows["total"], "remaining": left})
+
+    rows = stream.select(key, F.col(t).cast("double").alias("t"), F.col(done).cast("bigint").alias("done"), F.col(total).cast("bigint").alias("total"))
+    return rows.dropna(subset=["t", "done", "total"]).groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_activity(stream: DataFrame, time: str, key: str, value: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Readings and their sum per key and window; a window is final once the watermark has passed it."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("readings"), F.sum(value).alias("total"))

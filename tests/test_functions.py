@@ -56,6 +56,12 @@ def test_safe_text(spark):
     assert column(spark, ["<a href=\"x\">'&"], "string", X.html_escape) == ["&lt;a href=&quot;x&quot;&gt;&#x27;&amp;"]
     cases = ["see /Users/me/secret file.txt: bad", "token=abc123, next", "Authorization: Bearer a.b", "mail me@x.org now", r"C:\Users\me", "a/b stays", None]
     assert column(spark, cases, "string", X.redact) == ["see <PATH>: bad", "token=<REDACTED>, next", "Authorization=<REDACTED> <REDACTED>", "mail <EMAIL> now", "<PATH>", "a/b stays", None]
+    more = {
+        "file://localhost/x/y z": "<PATH>", "at \\\\host\\share": "at <PATH>", "~/notes, done": "<PATH>, done", "(/opt/a/b)": "(<PATH>)", "http://x.org/a": "http://x.org/a",
+        "API-key: 'a b' rest": "API-key=<REDACTED> rest", 'password="x y"': "password=<REDACTED>", "bearer abc==": "Bearer <REDACTED>", "/": "/", "/tmp/a b: c": "<PATH>: c", "x@y": "x@y",
+        "": "", "D:/data|x": "<PATH>|x", "cookie=": "cookie=",
+    }
+    assert dict(zip(more, column(spark, list(more), "string", X.redact))) == more
 
 
 @pytest.mark.parametrize("limit", [0, 4, 5, 6, 7, 8, 20])

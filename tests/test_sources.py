@@ -1,6 +1,7 @@
 """Folder trees, stores, reports and streams on temporary files."""
 
 import csv
+import random
 import os
 from pathlib import Path
 
@@ -115,14 +116,80 @@ def test_reports(spark, tmp_path):
 def test_folds_by_hand():
     p = folds.ProgressLimiter()
     assert [p.step(t, d, 9) for t, d in ((0, 1), (0.05, 2), (0.1, 3), (0.15, 4), (0.16, 9))] == [True, False, True, False, True]
-    e = folds.RemainingTime()
-    got = [e.step(t, d, 100) for t, d in ((0, 0), (1, 10), (2, 20), (3, 20), (4, 40), (5, 100))]
-    assert got == [None, None, pytest.approx(8.0), pytest.approx(8.0), pytest.approx(6.0), None]
-    assert e.step(6, 5, 100) is None and len(e.samples) == 1  # went back: a new stream
     h = folds.Hysteresis(50)
     assert [h.step(v) for v in (49, 50, 48, None, None, None, None, 48, 47, 48)] == [False, True, True, True, True, True, False, True, False, False]
     k = folds.HillClimb(cap=4)
-    assert [k.step(v) for v in (100, 200, 200, 200, 200, 200, None, 200, 200, 200, 400, 400)][:3] == [3, 3, 4]
+    assert [k.step(v) for v in (100, 200, 200, 200, 200, 200, None, 200, 200, 200, 400, 400)] == [3, 3, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4]
+    k = folds.HillClimb(cap=9)
+    assert [k.step(100.0) for _ in range(16)] == [3, 2, 2, 2, 2, 2, 3, 2, 2, 2, 2, 2, 2, 2, 2, 2]  # rests of 4, then 8 readings
+    k = folds.HillClimb(cap=9, plateau=0.9)
+    assert [k.step(100.0) for _ in range(9)] == [3, 3, 3, 3, 4, 4, 4, 4, 5]
+
+
+def remaining_by_hand(rows):
+    """Straight from the definition, one stream."""
+    out, run = {}, []
+    for t, done, total in sorted(rows):
+        if run and (done < run[-1][1] or total != run[-1][2]):
+            run = []
+        run.append((t, done, total))
+        samples = [x for k, x in enumerate(run) if k == 0 or x[1] != run[k - 1][1]][-8:]
+        (t0, d0, _), (t1, d1, _) = samples[0], samples[-1]
+        if total > 0 and len(samples) >= 3 and t - run[0][0] >= 1.5 and done < total and t1 > t0 and d1 > d0:
+            out[t] = pytest.approx((total - d1) * (t1 - t0) / (d1 - d0))
+        else:
+            out[t] = None
+    return out
+
+
+def streams_of_readings():
+    r = random.Random(3)
+    streams = {}
+    for key in ("a", "b"):
+        t = done = 0
+        total, rows = 100, []
+        for _ in range(120):
+            t += r.choice([0.2, 0.5, 1.0])
+            done = 0 if r.random() < 0.04 else min(total, done + r.choice([0, 0, 1, 3]))
+            total = r.choice([80, 100, 0]) if r.random() < 0.03 else total
+            rows.append((round(t, 3), done, total))
+        streams[key] = rows
+    return streams
+
+
+def test_remaining_time(spark):
+    streams = streams_of_readings()
+    rows = [(k, *x) for k, xs in streams.items() for x in xs]
+    df = spark.createDataFrame([*rows, ("a", 1.0, None, 5)], "key string, t double, done bigint, total bigint").repartition(3)
+    got = folds.remaining_time(df, "key", ["t", "done"], "t", "done", "total").collect()
+    assert len(got) == len(rows) + 1
+    for k, xs in streams.items():
+        assert {r["t"]: r["remaining"] for r in got if r["key"] == k and r["done"] is not None} == remaining_by_hand(xs)
+    assert [r["remaining"] for r in got if r["done"] is None] == [None]
+    assert folds.remaining_time(df.limit(0), "key", ["t"], "t", "done", "total").count() == 0
+
+
+def test_remaining_time_of_a_stream(spark, tmp_path):
+    streams = streams_of_readings()
+    schema = "key string, t double, done bigint, total bigint"
+    for n in range(4):
+        part = [(k, *x) for k, xs in streams.items() for x in xs[n * 30 : n * 30 + 30]]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"n{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = live.remaining_stream(stream, "key", "t", "done", "total").writeStream.format("memory").queryName("remaining").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("remaining").collect()
+    for k, xs in streams.items():
+        assert {r["t"]: r["remaining"] for r in got if r["key"] == k} == remaining_by_hand(xs)
+
+
+def test_hot_flags_equal_the_fold(spark):
+    r = random.Random(5)
+    rows = [(k, t, r.choice([None, 40.0, 46.0, 47.0, 48.0, 49.5, 50.0, 60.0, float("nan")])) for k in ("a", None) for t in range(200)]
+    df = spark.createDataFrame(rows, "key string, t bigint, v double").repartition(3)
+    got = {(r["key"], r["t"]): r["hot"] for r in folds.hot_flags(df, "key", ["t"], "v", 50.0).collect()}
+    assert got == brute(rows, lambda s, r: s.step(r[2]), lambda: folds.Hysteresis(50.0))
 
 
 def brute(rows, step, start):
