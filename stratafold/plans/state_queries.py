@@ -312,9 +312,9 @@ _EV = "e AS (SELECT event_type, event_id, epoch_us(ts) / 1e6 AS t, value FROM ev
 
 @query(
     "k_progress",
-    f"""WITH RECURSIVE {_EV}, f AS (SELECT event_type, min((t, event_id)) AS at FROM e GROUP BY 1),
-    r AS (SELECT event_type, at[1] AS t, at[2] AS event_id FROM f
-      UNION ALL SELECT event_type, at[1], at[2] FROM (SELECT r.event_type, min((e.t, e.event_id)) AS at FROM r JOIN e ON e.event_type = r.event_type AND e.t - r.t >= 60.0 GROUP BY 1, r.t))
+    f"""WITH RECURSIVE {_EV}, f AS (SELECT event_type, min({{'t': t, 'i': event_id}}) AS x FROM e GROUP BY 1),
+    r AS (SELECT event_type, x.t AS t, x.i AS event_id FROM f
+      UNION ALL SELECT event_type, x.t, x.i FROM (SELECT r.event_type, min({{'t': e.t, 'i': e.event_id}}) AS x FROM r JOIN e ON e.event_type = r.event_type AND e.t - r.t >= 60.0 GROUP BY 1, r.t))
     SELECT event_type, event_id, t FROM r""",
 )
 def k_progress(spark: SparkSession, d: str) -> DataFrame:
