@@ -44,8 +44,8 @@ def propagate_minimum(edges: DataFrame) -> DataFrame:
             break
         parent = _follow(parent)
         rounds.append(parent)
-        p = parent.withColumnRenamed("id", "dst").withColumnRenamed("label", "b")
-        q = parent.withColumnRenamed("id", "src").withColumnRenamed("label", "a")
+        p = parent.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+        q = parent.select(F.col("id").alias("src"), F.col("label").alias("a"))
         contracted = cut(
             current.join(q, "src").join(p, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
         )
@@ -54,7 +54,7 @@ def propagate_minimum(edges: DataFrame) -> DataFrame:
         current = contracted
     if not rounds:
         return schema_edges.select(F.col("src").alias("id"), F.col("dst").alias("label"))
-    labels = rounds[0]
+    labels = rounds[0].select("id", "label")
     for later in rounds[1:]:
         step = later.select(F.col("id").alias("label"), F.col("label").alias("next"))
         labels = labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
@@ -62,16 +62,17 @@ def propagate_minimum(edges: DataFrame) -> DataFrame:
 
 
 def _follow(parent: DataFrame) -> DataFrame:
-    """Replace each pointer by the end of its path."""
+    """Replace each pointer by the end of its path. The last jump of a round marks what still moved, so that the end is seen in
+    the written table without another join."""
     while True:
-        hops = parent
-        for _ in range(JUMPS):
+        hops = parent.select("id", "label")
+        for jump in range(JUMPS):
             step = hops.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            hops = hops.join(step, "label").select("id", F.col("next").alias("label"))
+            joined = hops.select("id", "label").join(step, "label")
+            moved = [(F.col("next") != F.col("label")).alias("moved")] if jump == JUMPS - 1 else []
+            hops = joined.select("id", F.col("next").alias("label"), *moved)
         hops = cut(hops)
-        step = hops.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        open_end = not is_empty(hops.join(step, "label").where("next <> label").select("id").limit(1))
         release(parent)
         parent = hops
-        if not open_end:
-            return parent
+        if is_empty(hops.where("moved")):
+            return hops

@@ -37,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, column: str) -> DataFrame:
+    """:func:`cut` in a layout that later joins and aggregations on ``column`` use as it is: hashed into as many buckets as there
+    are shuffle partitions, each one sorted file. Reading it again for a join on ``column`` shuffles and sorts nothing."""
+    spark = df.sparkSession
+    name = f"stratafold_{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).sortWithinPartitions(column).write.format("parquet").bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._stratafold_path, out._stratafold_table = path, name
+    return out
+
+
 def _own_dir(spark: SparkSession) -> str:
     """This application's folder within the shared one; it is deleted when the application ends."""
     path = f"{shared_dir(spark)}/stratafold/{spark.sparkContext.applicationId}"
@@ -63,7 +76,9 @@ def clear(spark: SparkSession) -> None:
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`cut` that no later plan reads."""
     for df in tables:
-        path = getattr(df, "_stratafold_path", None)
+        path, name = getattr(df, "_stratafold_path", None), getattr(df, "_stratafold_table", None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             _delete(df.sparkSession, path)
 
