@@ -10,7 +10,7 @@ from stratafold.llm.bpe import encode_corpus
 from stratafold.llm.components import linked_groups, list_links
 from stratafold.llm.lookalike import canonical, same_look_pairs
 from stratafold.llm.mojibake import restore_encoding
-from stratafold.llm.setjoin import folder_contents, similar_sets
+from stratafold.llm.setjoin import folder_contents, similar_classes, similar_sets
 from stratafold.sources.tables import table
 
 
@@ -43,6 +43,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pairs(spark, d).select("dir_a", "dir_b")
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The similar pairs of different sets, each set by its smallest folder."""
+    s = similar_classes(folder_contents(table(spark, d, "file_groups")), "record", "token", "weight")
+    rep = s.classes.select("id", "rep")
+    named = s.pairs.join(rep.withColumnsRenamed({"id": "x", "rep": "p"}), "x").join(rep.withColumnsRenamed({"id": "y", "rep": "q"}), "y")
+    return named.select(F.least("p", "q").alias("dir_a"), F.greatest("p", "q").alias("dir_b"), F.round("percent", 1).alias("percent"), F.col("shared_weight").alias("shared_bytes"))
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each folder with the smallest folder of the same set."""
+    s = similar_classes(folder_contents(table(spark, d, "file_groups")), "record", "token", "weight")
+    return s.members.join(s.classes.select("id", "rep"), "id").select(F.col("name").alias("dir"), F.col("rep").alias("class_dir"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -84,6 +98,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
+    "p5_classes": p5_classes, "p5_members": p5_members,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_mix_filled": p7_mix_filled, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
     "p8_found": p8_found, "p8_restored": p8_restored,
 }
@@ -96,6 +111,9 @@ p AS (SELECT a.dir AS dir_a, b.dir AS dir_b, count(*) AS k, CAST(sum(a.w) AS BIG
 q AS (SELECT dir_a, dir_b, 200.0::DOUBLE * k / (x.n + y.n) AS percent, shared_bytes FROM p JOIN z x ON x.dir = dir_a JOIN z y ON y.dir = dir_b)
 """
 
+_CLASSES = _SETS + """, t AS (SELECT dir, string_agg(digest, '|' ORDER BY digest) AS t FROM s GROUP BY 1), c AS (SELECT dir, min(dir) OVER (PARTITION BY t) AS class_dir FROM t)
+"""
+
 SQL = {
     "p2_found": """
 WITH RECURSIVE l AS (
@@ -106,5 +124,8 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a AS dir, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.dir WHERE r.root < e.b)
 SELECT min(root) AS group_dir, dir FROM (SELECT * FROM r UNION ALL SELECT a, a FROM e) GROUP BY dir""",
     "p5_found": _SETS + "SELECT dir_a, dir_b FROM q WHERE percent >= 75",
+    "p5_classes": _CLASSES + """SELECT dir_a, dir_b, round(percent, 1) AS percent, shared_bytes FROM q JOIN c x ON x.dir = dir_a JOIN c y ON y.dir = dir_b
+WHERE percent >= 75 AND x.class_dir = dir_a AND y.class_dir = dir_b AND x.class_dir <> y.class_dir""",
+    "p5_members": _CLASSES + "SELECT dir, class_dir FROM c",
     "p5_pairs": _SETS + "SELECT dir_a, dir_b, round(percent, 1) AS percent, shared_bytes FROM q WHERE percent >= 75",
 }

@@ -5,7 +5,8 @@ from itertools import combinations
 
 import pytest
 
-from stratafold.llm.setjoin import ChosenPath, folder_contents, similar_sets
+from stratafold.llm import setjoin
+from stratafold.llm.setjoin import ChosenPath, folder_contents, similar_classes, similar_sets
 
 
 def brute(items, percent):
@@ -75,10 +76,47 @@ def test_copies_and_single_tokens(spark):
     assert run(spark, items) == brute(items, 75)
 
 
-def test_other_threshold_and_empty(spark):
-    items = make(4, 60)
-    assert run(spark, items, ChosenPath(percent=90.0)) == brute(items, 90)
-    assert run(spark, []) == {}
+@pytest.mark.parametrize("percent", [50.0, 60.0, 200 / 3, 90.0])
+@pytest.mark.parametrize("exact", [False, True])
+def test_other_thresholds(spark, percent, exact):
+    items = make(4, 70) + [("x", "a", 1), *(("y", t, 1) for t in "ab"), *(("z", t, 1) for t in "abc")]
+    assert run(spark, items, ChosenPath(percent=percent, exact=exact)) == brute(items, percent)
+
+
+def test_one_token_sets_and_empty(spark):
+    items = [("x", "a", 1), *(("y", t, 1) for t in "ab"), *(("z", t, 1) for t in "abc")]
+    assert set(run(spark, items, ChosenPath(percent=60))) == {("x", "y"), ("y", "z")}
+    assert run(spark, []) == {} == run(spark, [], ChosenPath(exact=True))
+
+
+def test_many_common_tokens_never_end_in_one_node(spark):
+    """More tokens in all sets than any fixed depth: nodes are split on until they are small."""
+    r = random.Random(12)
+    common = [f"c{k}" for k in range(14)]
+    items = []
+    for k in range(150):
+        own = {f"o{r.randrange(600)}" for _ in range(14)}
+        items += [(f"a{k}", t, 1) for t in {*common, *own}]
+        if k % 5 == 0:
+            items += [(f"b{k}", t, 1) for t in {*common, *list(own)[:9], f"z{k}"}]
+    assert run(spark, items, ChosenPath(leaf=12)) == brute(items, 75)
+
+
+def test_sets_with_equal_signatures_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(setjoin, "_signature", lambda: [F.lit(0).alias("s1"), F.lit(0).alias("s2")])
+    items = make(6, 30)
+    assert run(spark, items) == brute(items, 75)
+
+
+def test_classes_and_pairs_between_them(spark):
+    items = [(f"c{k}", t, 5) for k in range(30) for t in ("u", "v", "w", "x")] + [(f"d{k}", t, 5) for k in range(3) for t in ("u", "v", "w")] + [("solo", "q", 1)]
+    s = similar_classes(spark.createDataFrame(items, "r string, t string, w bigint"), "r", "t", "w")
+    rep = {r["id"]: (r["rep"], r["n"], r["copies"], r["weight"]) for r in s.classes.collect()}
+    assert set(rep.values()) == {("c0", 4, 30, 20), ("d0", 3, 3, 15), ("solo", 1, 1, 1)}
+    assert [({rep[r["x"]][0], rep[r["y"]][0]}, r["shared_weight"]) for r in s.pairs.collect()] == [({"c0", "d0"}, 15)]
+    assert s.members.count() == 34
 
 
 def test_folders(spark):
