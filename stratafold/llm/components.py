@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.operators.graph import number_vertices, propagate_minimum
-from stratafold.session import cut, is_empty, release
+from stratafold.session import cut, cut_by, release
 
-#: Frontier rounds at most; what is not reached then is labelled with the rest, so no result depends on it.
-PEEL_ROUNDS = 24
+#: Peeling ends with a layer that adds less than this part of what was reached: long tails are labelled with the rest.
+PEEL_PART = 0.1
 
 
 def list_links(lists: DataFrame, column: str) -> DataFrame:
@@ -24,8 +24,9 @@ def linked_groups(links: DataFrame) -> DataFrame:
     order, of everything linked directly or indirectly.
 
     The giant component is peeled by breadth-first frontier joins from the vertex of the highest degree and anti-joined
-    away; minimum propagation labels the rest. If the frontier dries up slowly (long tails), the reached part shrinks
-    to one vertex and the rest is labelled together with it, which gives the same groups.
+    away; minimum propagation labels the rest. The edges are written once, hashed by their source, and every frontier join reads
+    them in this layout without a shuffle. Where the frontier dries up slowly (long tails), peeling ends early: what was reached
+    counts as one vertex and is labelled with the rest, which gives the same groups. All tables but the result are deleted.
 
     Links with a null end and links of a record with itself connect nothing and are left out; repeated and reversed
     links count once; other columns of ``links`` are ignored; no links give no rows.
@@ -42,52 +43,44 @@ def linked_groups(links: DataFrame) -> DataFrame:
         names.select(F.col("name").alias("b"), F.col("id").alias("y")), "b"
     )
     one_way = cut(ends.select("x", "y"))
-    edges = cut(one_way.select(F.col("x").alias("src"), F.col("y").alias("dst")).union(one_way.select("y", "x")))
+    both = one_way.select(F.col("x").alias("src"), F.col("y").alias("dst")).union(one_way.select("y", "x"))
+    edges = cut_by(both, "src")
     release(pairs, one_way)
 
     hub = edges.groupBy("src").count().orderBy(F.desc("count"), "src").head(1)
     if not hub:
         return names.select(F.col("name").alias("member"), F.col("name").alias("group"))
-    reached = _peel(edges, hub[0]["src"])
+    layers = _peel(edges, hub[0]["src"])
+    reached = layers[0]
+    for layer in layers[1:]:
+        reached = reached.union(layer)
     lowest = reached.agg(F.min("id")).head()[0]
-    inside = reached.select(F.col("id"), F.lit(True).alias("hit"))
-    rest = (
-        edges.join(inside.withColumnsRenamed({"id": "src", "hit": "src_hit"}), "src", "left")
-        .join(inside.withColumnsRenamed({"id": "dst", "hit": "dst_hit"}), "dst", "left")
-        .where("src_hit IS NULL OR dst_hit IS NULL")
-        .select(
-            F.when(F.col("src_hit"), F.lit(lowest)).otherwise(F.col("src")).alias("src"),
-            F.when(F.col("dst_hit"), F.lit(lowest)).otherwise(F.col("dst")).alias("dst"),
-        )
-        .distinct()
-    )
-    rest = cut(rest)
+    # only the last layer has neighbours that weren't reached; edges to it lead to the vertex that stands for the giant component
+    edge = layers[-1].select(F.col("id").alias("dst"), F.lit(lowest).alias("giant"))
+    outside = edges.join(reached.withColumnRenamed("id", "src"), "src", "left_anti").join(edge, "dst", "left")
+    outside = cut(outside.select("src", F.coalesce("giant", "dst").alias("dst"), F.col("giant").isNotNull().alias("back")))
+    rest = outside.select("src", "dst").union(outside.where("back").select("dst", "src")).distinct()
     labels = propagate_minimum(rest)
     giant = labels.where(F.col("id") == lowest).select("label").head(1)
     top = giant[0]["label"] if giant else lowest
-    labels = labels.join(reached, "id", "left_anti").unionByName(reached.select("id", F.lit(top).alias("label")))
-    return (
-        labels.join(names.withColumnRenamed("name", "member"), "id")
-        .join(names.select(F.col("id").alias("label"), F.col("name").alias("group")), "label")
-        .select("member", "group")
-    )
+    labels = labels.where(F.col("id") != lowest).unionByName(reached.select("id", F.lit(top).alias("label")))
+    named = labels.join(names.withColumnRenamed("name", "member"), "id").join(names.select(F.col("id").alias("label"), F.col("name").alias("group")), "label")
+    out = cut(named.select("member", "group"))
+    release(edges, outside, names, *layers)
+    return out
 
 
-def _peel(edges: DataFrame, hub: int) -> DataFrame:
-    """The vertices that breadth-first rounds from ``hub`` reach."""
-    spark = edges.sparkSession
-    before = frontier = spark.range(hub, hub + 1)
-    layers = [frontier]
-    for _ in range(PEEL_ROUNDS):
+def _peel(edges: DataFrame, hub: int) -> list[DataFrame]:
+    """The layers of vertices that breadth-first rounds from ``hub`` reach."""
+    before = frontier = edges.sparkSession.range(hub, hub + 1)
+    layers, reached = [frontier], 1
+    while True:
         step = edges.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         # neighbours of a layer lie in it, in the one before and in the next
         after = cut(step.join(before.union(frontier), "id", "left_anti"))
-        if is_empty(after):
-            release(after)
-            break
+        found = after.count()
         layers.append(after)
+        if found < PEEL_PART * reached:
+            return layers
+        reached += found
         before, frontier = frontier, after
-    reached = layers[0]
-    for layer in layers[1:]:
-        reached = reached.union(layer)
-    return reached

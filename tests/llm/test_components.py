@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from stratafold.llm import components
 from stratafold.llm.components import linked_groups, list_links
 
@@ -49,9 +51,10 @@ def test_long_chains_hub_and_cliques(spark):
     assert run(spark, links) == brute(links)
 
 
-def test_short_peel_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(components, "PEEL_ROUNDS", 2)
-    links = [("hub", f"l{k}") for k in range(30)] + [("l3", "a0")] + [(f"a{k}", f"a{k + 1}") for k in range(20)] + [("x", "y")]
+@pytest.mark.parametrize("part", [0.0, 0.1, 1.0, 1e9])
+def test_short_and_long_peels_give_the_same(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PEEL_PART", part or 1e-9)
+    links = [("hub", f"l{k}") for k in range(30)] + [("l3", "a0")] + [(f"a{k}", f"a{k + 1}") for k in range(8)] + [("x", "y"), ("l4", "l5"), ("a2", "l9")]
     assert run(spark, links) == brute(links)
 
 
