@@ -12,15 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafold.session import cut, spread
-
-# Letters of other scripts drawn like a Latin letter, each line the letters and below it what they look like.
-_CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝ"
-_CYRILLIC_AS = "ABESIJKMHOPCTYXYGQWaesijopcyxhdqw"
-_GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ"
-_GREEK_AS = "ABEZHIKMNOPTYXCjovc"
-_LATIN = "ɡ"
-_LATIN_AS = "g"
+from stratafold.operators.skew import expand_pairs
+from stratafold.session import cut, release, spread
+
+# Letters of other scripts drawn like a Latin letter, by script in two rows: the letters, and what they look like. After
+# the public confusables data of the Unicode standard, as far as the usual fonts draw the two alike.
+LOOKALIKES = {
+    "Cyrillic": ("АВЕЅІЈКМНОРСТУХҮӀѴԌԚԜаеѕіјорсухһԁԛԝѵ", "ABESIJKMHOPCTYXYIVGQWaesijopcyxhdqwv"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ", "ABEZHIKMNOPTYXCjovc"),
+    "Armenian": ("ՍՏՕհոսցօզյ", "USOhnugoqj"),
+    "Cherokee": ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦ", "DRTiAJEWMHGZVSLCPK"),
+    "Coptic": ("ⲎⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "HKMNOPCTXopc"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Latin": ("ɡ", "g"),
+}
 # Code point ranges of characters whose compatibility form looks like themselves (besides the wide and
 # narrow forms and all spaces): Latin digraphs, dot leaders, Roman numerals, Latin ligatures.
 _SAME_LOOK = ((0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2024, 0x2026), (0x2160, 0x217F), (0xFB00, 0xFB06))
@@ -34,7 +39,7 @@ COARSE = (64, 512)
 
 
 def _letters() -> dict[str, str]:
-    return dict(zip(_CYRILLIC + _GREEK + _LATIN, _CYRILLIC_AS + _GREEK_AS + _LATIN_AS, strict=True))
+    return {x: y for those, like in LOOKALIKES.values() for x, y in zip(those, like, strict=True)}
 
 
 @lru_cache(maxsize=1)
@@ -64,7 +69,7 @@ def tables() -> tuple[dict[str, str], set[str], list[str]]:
         tag = unicodedata.decomposition(c)
         if kind == "Zs":
             form = " "
-        elif tag.startswith(("<wide>", "<narrow>")) or any(a <= code <= b for a, b in _SAME_LOOK):
+        elif tag.startswith(("<wide>", "<narrow>", "<noBreak>", "<font>")) or any(a <= code <= b for a, b in _SAME_LOOK):
             form = unicodedata.normalize("NFKC", c)
         plain = unicodedata.normalize("NFD", form)
         form = unicodedata.normalize("NFC", "".join(letters.get(x, x) for x in plain))
@@ -111,7 +116,9 @@ def canonical_text(text: str) -> str:
     """The consistent form of ``text``.
 
     Characters without a look go (joiners stay within scripts and emoji whose look they change, U+FE0F after emoji); every space is a plain
-    space; wide and narrow forms, ligatures and look-alike letters become the Latin letters they look like. The
+    space; wide, narrow, non-breaking and mathematical forms, ligatures and the letters of ``LOOKALIKES`` become what they look like.
+    Left apart are letters that only resemble each other (α and a, ρ and p, к and k), letters and digits (O and 0, l and 1, З and 3),
+    the hyphen U+2010 and the ASCII one, and capital I and small l. The
     quick-check properties then isolate the segments that are not surely composed; only those are normalized, each with
     the character before it, and spliced between the unchanged rest. Case, accents, punctuation and digits stay.
     """
@@ -147,36 +154,46 @@ def canonical(text: Column) -> Column:
     return F.coalesce(settle(F.when(other & unstable, text)), easy)
 
 
-def same_look_pairs(rows: DataFrame, ident: str, text: str, *within: str) -> DataFrame:
-    """``(*within, id_a, id_b)``, id_a < id_b: the pairs of entries whose texts differ and have the same consistent form.
+def same_look_classes(rows: DataFrame, ident: str, text: str, *within: str) -> DataFrame:
+    """``(*within, form, text, id)``: the distinct entries whose text looks like a different text of another entry, with the
+    consistent form they share. ``within`` columns must be equal (null equals null).
 
-    Rows with a null id or text are no entries; repeated rows count once; ``within`` columns must be equal (null equals
-    null). First the forms with more than one distinct text are told apart by hashes in an aggregation that combines on the
-    map side, so a text in very many rows is no hot spot; only their rows are looked at again. Then distinct texts are
-    paired, and entries only by such pairs; equal texts are never paired.
+    Rows with a null id or text are no entries; repeated rows count once; other columns are ignored. Forms are made once and
+    written with their hashes. The forms with more than one distinct text are told by an aggregation of hashes that combines
+    on the map side, so a text in very many rows is no hot spot; only their rows are read again. The result is a written table.
     """
     keys = list(within)
-    entries = spread(rows.select(*keys, F.col(ident).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL"))
-    formed = entries.withColumn("f", canonical(F.col("t")))
-    h = F.xxhash64("t")
-    marks = formed.select(F.xxhash64(*keys, "f").alias("k"), h.alias("h"), F.hash("t").alias("g"))
+    entries = spread(rows.select(*keys, F.col(ident).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL"))
+    form = canonical(F.col("text"))
+    formed = entries.withColumn("form", form).withColumn("k", F.xxhash64(*keys, "form"))
+    # a form equal to the text isn't written twice
+    formed = cut(formed.withColumn("form", F.when(F.col("form") != F.col("text"), F.col("form"))))
+    marks = formed.select("k", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
     varied = marks.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("g").alias("c"), F.max("g").alias("d"))
     varied = varied.where("a <> b OR c <> d").select("k")
-    suspects = cut(formed.withColumn("k", F.xxhash64(*keys, "f")).join(varied, "k", "left_semi").select(*keys, "id", "t", "f").distinct())
-    texts = suspects.select(*keys, "f", "t").distinct()
-    left, right = texts.withColumnRenamed("t", "ta"), texts.withColumnsRenamed({c: f"r_{c}" for c in [*keys, "f"]} | {"t": "tb"})
-    match = F.col("f") == F.col("r_f")
-    for c in keys:
-        match = match & F.col(c).eqNullSafe(F.col(f"r_{c}"))
-    pairs = left.join(right, match).where("ta < tb").select(*keys, "ta", "tb")
-    one = _with_ids(pairs, suspects, keys, "ta", "ia")
-    both = _with_ids(one, suspects, keys, "tb", "ib")
-    return both.where("ia <> ib").select(*keys, F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+    found = cut(formed.join(varied, "k", "left_semi").select(*keys, F.coalesce("form", "text").alias("form"), "text", "id").distinct())
+    release(formed)
+    return found
 
 
-def _with_ids(pairs: DataFrame, entries: DataFrame, keys: list[str], text: str, ident: str) -> DataFrame:
-    found = entries.select(*[F.col(c).alias(f"e_{c}") for c in keys], F.col("t").alias("e_t"), F.col("id").alias(ident))
-    match = F.col(text) == F.col("e_t")
+def same_look_pairs(rows: DataFrame, ident: str, text: str, *within: str) -> DataFrame:
+    """``(*within, id_a, id_b)``, id_a < id_b: the pairs of entries whose texts differ and have the same consistent form, from
+    :func:`same_look_classes`. Distinct texts are paired first, then their entries in blocks, so that texts which very many
+    entries hold are spread over all tasks; equal texts are never paired.
+    """
+    keys = list(within)
+    suspects = same_look_classes(rows, ident, text, *within)
+    texts = suspects.select(*keys, "form", "text").distinct().withColumn("t", F.monotonically_increasing_id())
+    texts = cut(texts)
+    left, right = texts.withColumnRenamed("t", "a"), texts.select(*[F.col(c).alias(f"r_{c}") for c in [*keys, "form"]], F.col("t").alias("b"))
+    match = F.col("form") == F.col("r_form")
+    for c in keys:
+        match = match & F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    pairs = left.join(right, match).where("a < b").select("a", "b", *keys)
+    named = texts.select(*[F.col(c).alias(f"r_{c}") for c in keys], F.col("text").alias("r_text"), "t")
+    held = F.col("text") == F.col("r_text")
     for c in keys:
-        match = match & F.col(c).eqNullSafe(F.col(f"e_{c}"))
-    return pairs.join(found, match).drop("e_t", *[f"e_{c}" for c in keys])
+        held = held & F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    members = suspects.join(named, held).select(F.col("t").alias("g"), F.col("id").alias("m"))
+    both = expand_pairs(pairs, members).where("m <> n")
+    return both.select(*keys, F.least("m", "n").alias("id_a"), F.greatest("m", "n").alias("id_b")).distinct()

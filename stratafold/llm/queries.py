@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratafold.llm import mixing
 from stratafold.llm.bpe import encode_corpus
 from stratafold.llm.components import linked_groups, list_links
-from stratafold.llm.lookalike import canonical, same_look_pairs
+from stratafold.llm.lookalike import canonical, same_look_classes, same_look_pairs
 from stratafold.llm.mojibake import restore_encoding
 from stratafold.llm.setjoin import folder_contents, similar_classes, similar_sets
 from stratafold.sources.tables import table
@@ -22,6 +22,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The entries that look like others, each with the form it shares with them: one row an entry."""
+    files = same_look_classes(table(spark, d, "files"), "file_id", "path")
+    compared = same_look_classes(table(spark, d, "folder_compare"), "row_id", "relative_path", "compare_id")
+    columns = lambda df, name: df.select(F.lit(name).alias("tbl"), "id", "form")
+    return columns(files, "files").unionByName(columns(compared, "folder_compare")).distinct()
+
+
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every path of files with its consistent form."""
     return table(spark, d, "files").select("file_id", "path").distinct().select("file_id", "path", canonical(F.col("path")).alias("form"))
@@ -97,7 +105,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
+    "p1_found": p1_found, "p1_classes": p1_classes, "p1_forms": p1_forms, "p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p5_classes": p5_classes, "p5_members": p5_members,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_mix_filled": p7_mix_filled, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
     "p8_found": p8_found, "p8_restored": p8_restored,

@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from stratafold.llm.lookalike import canonical, canonical_text, same_look_pairs
+from stratafold.llm.lookalike import canonical, canonical_text, same_look_classes, same_look_pairs
 
 SAME = [
     ("résumé.txt", "résumé.txt"),
@@ -22,8 +22,15 @@ SAME = [
     ("가", "가"),
     ("", "​"),
     ("e­́", "é"),
+    ("a\u2011b", "a\u2010b"),
+    ("Ӏ", "I"),
+    ("ѵօᎪ", "voA"),
+    ("\U0001d400\U0001d7ce", "A0"),
+    ("ℓ", "l"),
+    ("ⲢꓝꓮᎢ", "PFAT"),
+    ("Սոօ", "Uno"),
 ]
-DIFFERENT = [("a", "A"), ("e", "é"), ("a.b", "a_b"), ("a b", "a_b"), ("x2", "x²"), ("o", "0"), ("l", "1"), ("к", "k"), ("n", "ñ"), ("a-b", "a–b"), ("м", "m"), ("З", "3")]
+DIFFERENT = [("a", "A"), ("e", "é"), ("a.b", "a_b"), ("a b", "a_b"), ("x2", "x²"), ("o", "0"), ("l", "1"), ("к", "k"), ("n", "ñ"), ("a-b", "a–b"), ("м", "m"), ("З", "3"), ("a\u2010b", "a-b"), ("α", "a"), ("I", "l")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -90,3 +97,29 @@ def test_supplement_ideographs_marks_and_emoji_style(spark):
         assert canonical_text(a) == canonical_text(b) == b == form[a] == form[b]
     for t in kept:
         assert canonical_text(t) == form[t] == t
+
+
+def test_every_code_point(spark):
+    """Canonically equivalent text has one form, JVM and Python agree, forms are stable and composed."""
+    points = [chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    plain = [p for p in points if not 0xAC00 <= ord(p) <= 0xD7A3 and not 0x3400 <= ord(p) <= 0x9FFF and not 0x20000 <= ord(p) < 0x2F800 and ord(p) < 0x30000]
+    hangul = points[0:0] + [chr(c) for c in range(0xAC00, 0xD7A4, 97)] + ["\u3400", "\u9fff", "\U00020000", "\U0002a6df", "\U00031350"]
+    for p in [*plain, *hangul]:
+        form = canonical_text(f"x{p}y")
+        assert form == canonical_text("x" + unicodedata.normalize("NFD", p) + "y") == canonical_text("x" + unicodedata.normalize("NFC", p) + "y"), hex(ord(p))
+        assert canonical_text(form) == form and unicodedata.is_normalized("NFC", form), hex(ord(p))
+    texts = [f"x{p}y" for p in [*plain, *hangul]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    wrong = [t for t, f in df.select("t", canonical(F.col("t"))).collect() if f != canonical_text(t)]
+    assert wrong == []
+
+
+def test_classes(spark):
+    rows = [(1, 1, "office"), (1, 2, "oﬃce"), (1, 2, "oﬃce"), (2, 3, "oﬃce"), (1, 4, "other"), (1, None, "office"), (1, 5, None)]
+    df = spark.createDataFrame(rows, "g int, i bigint, t string")
+    assert sorted(tuple(r) for r in same_look_classes(df, "i", "t", "g").collect()) == [(1, "office", "office", 1), (1, "office", "oﬃce", 2)]
+
+
+def test_two_texts_held_by_many(spark):
+    df = spark.range(2_000).select("id", F.when(F.col("id") % 2 == 0, "office").otherwise("oﬃce").alias("t"))
+    assert same_look_pairs(df, "id", "t").count() == 1_000_000
