@@ -9,7 +9,7 @@ from stratafold.llm import mixing
 from stratafold.llm.bpe import encode_corpus
 from stratafold.llm.components import linked_groups, list_links
 from stratafold.llm.lookalike import canonical, same_look_classes, same_look_pairs
-from stratafold.llm.mojibake import restore_encoding
+from stratafold.llm.mojibake import held_out, restore_encoding
 from stratafold.llm.setjoin import folder_contents, similar_classes, similar_sets
 from stratafold.sources.tables import table
 
@@ -104,11 +104,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).select("doc_id").distinct()
 
 
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and false alarms on held-out records, by chain."""
+    return held_out(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_classes": p1_classes, "p1_forms": p1_forms, "p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p5_classes": p5_classes, "p5_members": p5_members,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_mix_filled": p7_mix_filled, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
-    "p8_found": p8_found, "p8_restored": p8_restored,
+    "p8_found": p8_found, "p8_restored": p8_restored, "p8_held_out": p8_held_out,
 }
 
 _SETS = """
