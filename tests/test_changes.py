@@ -54,10 +54,44 @@ def test_no_rows(spark):
     assert set(changes(spark, [(1, "/a", 1, 1, 1, "")], 2)) == {(2, "/a", "removed")}
 
 
-def test_merge_needs_no_second_exchange(spark):
-    df = spark.createDataFrame([(1, "/a", 1, 1, 1, "")], SCHEMA)
-    plan = snapshot_changes(df, "path", "n", ["m", "i"], ["seen"], 1, 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 2 and "rangepartitioning" in plan
+def test_one_exchange_and_one_sort(spark):
+    df = spark.createDataFrame([(k % 3, f"/{k}", 1, 1, 1, "") for k in range(50)], SCHEMA)
+    found = snapshot_changes(df, "path", "n", ["m", "i"], ["seen"])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("rangepartitioning") == 1 and "hashpartitioning" not in plan and plan.count("Sort ") == 1 and "SortAggregate" not in plan
+
+
+def test_all_snapshots_by_default(spark):
+    rows = [(n, f"/{k}", n, 1, 1, "") for n in (2, 3, 7) for k in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {tuple(r) for r in snapshot_changes(df, "path", "n", ["m", "i"], ["seen"]).collect()}
+    assert got == {(n, f"/{k}", kind) for k in range(3) for n, kind in ((3, "changed"), (4, "removed"), (7, "added"))}
+    assert snapshot_changes(df.limit(0), "path", "n", ["m", "i"], ["seen"]).count() == 0
+
+
+def test_very_frequent_keys_are_combined_first(spark, monkeypatch):
+    from stratafold.operators import changes as C
+
+    r = random.Random(8)
+    rows = [(r.randrange(1, 4), r.choice(["/hot"] * 3 + [f"/p{k}" for k in range(9)]), r.choice([None, 1, 2]), r.choice([None, 7]), r.randrange(5), "x") for _ in range(600)]
+    plain = set(changes(spark, rows, 3))
+    monkeypatch.setattr(C, "OFTEN", 0.2)
+    assert set(changes(spark, rows, 3)) == plain == brute(rows, 3)
+
+
+def test_kept_layout(spark, tmp_path):
+    from stratafold.operators.changes import keep_snapshot, kept_changes
+
+    r = random.Random(9)
+    rows = [(n, f"/p{r.randrange(60)}", r.choice([None, 1]), r.choice([None, 7]), r.randrange(3), "x") for n in (1, 2) for _ in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = [keep_snapshot(df.where(f"n = {n}"), "path", ["m", "i"], ["seen"], f"kept{n}", str(tmp_path / f"s{n}"), 3) for n in (1, 2)]
+    found = kept_changes(*kept, "path", ["m", "i"])
+    assert {(2, *t) for t in found.collect()} == brute(rows, 2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for n in (1, 2):
+        spark.sql(f"DROP TABLE kept{n}")
 
 
 def brute_middle(rows):
@@ -84,6 +118,14 @@ def test_middle_with_hot_keys(spark, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == brute_middle(rows)
 
 
+def test_both_states_give_the_same(spark):
+    r = random.Random(11)
+    rows = [(r.randrange(5), r.randrange(40), r.randrange(90)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "size bigint, t bigint, id bigint")
+    for direct in (0, 1, 30, 10_000):
+        assert {tuple(x) for x in middle_entries(df, "size", "t", "id", direct).collect()} == brute_middle(rows)
+
+
 def test_middle_small_cases(spark):
     assert run_middle(spark, []) == []
     assert run_middle(spark, [(1, 1, 1), (1, 1, 1)]) == []
