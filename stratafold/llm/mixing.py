@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,32 +115,92 @@ def mixture_budgets(sizes: DataFrame, plans: DataFrame, keep_source_shares: bool
     return cut(rows.groupBy("mix_name").applyInPandas(plan, schema))
 
 
-def draw(sizes: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """(mix_name, source, lang, doc_id, tokens, uses): the documents of each mixture.
+def domain(root_dir: Column) -> Column:
+    """The first part of a folder, the domain of the documents about it; null for null."""
+    return F.regexp_extract(root_dir, r"^(/?[^/]*)", 1)
 
-    Each leaf is read in epochs, every epoch in its own seeded order. All whole epochs use each document once; of the last
-    epoch the prefix is used whose tokens come closest to the rest of the budget. Its end is found in partial sums
+
+def tree_budgets(sizes: DataFrame, mixes: DataFrame, weights: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """A row for each mixture and leaf of a tree with tokens: its budget, in whole epochs and the rest.
+
+    ``sizes(doc_id, *levels, tokens)`` are the documents with their path in the tree, from the top down; ``mixes(mix_name,
+    total_fraction, max_repeats)`` the mixtures; ``weights(mix_name, level, value, weight)`` the weight of a node among its siblings,
+    1 where none is given, negative and null weights as 0, repeated ones added up. Budgets go from the root down; a shortage is made up by siblings
+    first, by the ancestors' siblings only for what is left (:func:`budgets`). A mixture's tree is planned in one task: it has a row
+    for each combination of values that documents have.
+    """
+    levels = list(levels)
+    held = sizes.where("tokens > 0").groupBy(*levels).agg(F.sum("tokens").cast("double").alias("available"))
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
+    asked = mixes.where("mix_name IS NOT NULL").groupBy("mix_name").agg(F.max("total_fraction").alias("part"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
+    rows = held.crossJoin(F.broadcast(asked)).crossJoin(F.broadcast(total))
+    given = weights.groupBy("mix_name", "level", "value").agg(F.sum(F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)).alias("w"))
+    for level in levels:
+        mine = given.where(F.col("level") == level).select(F.col("mix_name").alias("m"), F.col("value").alias("v"), F.col("w").alias(f"w_{level}"))
+        rows = rows.join(mine, (F.col("mix_name") == F.col("m")) & F.col(level).eqNullSafe(F.col("v")), "left").drop("m", "v")
+        rows = rows.withColumn(f"w_{level}", F.coalesce(f"w_{level}", F.lit(1.0)))
+    rows = rows.withColumn("wanted", F.coalesce("part", F.lit(0.0)) * F.col("all_tokens")).withColumn("cap", F.col("available") * F.greatest("max_repeats", F.lit(0)))
+
+    def plan(leaves: pd.DataFrame) -> pd.DataFrame:
+        leaves = leaves.reset_index(drop=True)
+        wanted = float(leaves["wanted"].iloc[0])
+        free = leaves.assign(cap=float("inf"))
+        leaves["share_tokens"] = budgets(free, levels, wanted)
+        leaves["budget"] = budgets(leaves, levels, wanted)
+        epochs = np.floor(leaves["budget"] / leaves["available"] + 1e-9)
+        leaves["epochs"] = epochs.astype("int64")
+        leaves["rest"] = (leaves["budget"] - epochs * leaves["available"]).clip(lower=0)
+        return leaves[["mix_name", *levels, "available", "max_repeats", "wanted", "share_tokens", "budget", "epochs", "rest"]]
+
+    path = ", ".join(f"{x} string" for x in levels)
+    return cut(rows.groupBy("mix_name").applyInPandas(plan, f"mix_name string, {path}, available double, max_repeats int, wanted double, share_tokens double, budget double, epochs bigint, rest double"))
+
+
+def tree_shares(plan: DataFrame, drawn: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """For each leaf of each mixture: tokens by the weights alone, the budget after shortages were made up for, tokens reached."""
+    keys = ["mix_name", *levels]
+    got = drawn.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum(F.col("tokens") * F.col("uses")).alias("got"), F.max("uses").alias("most_uses"))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = plan.join(got, match, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select(*keys, "share_tokens", F.col("budget").alias("budget_tokens"), zero("got").alias("reached_tokens"), F.col("available").cast("bigint").alias("available_tokens"), zero("most_uses").alias("most_uses"))
+
+
+def draw(sizes: DataFrame, plan: DataFrame, seed: int = 17, levels: Sequence[str] = ("source", "lang")) -> DataFrame:
+    """(mix_name, *levels, doc_id, tokens, uses): the documents of each mixture.
+
+    Each leaf (combination of ``levels``) is read in epochs, every epoch in its own seeded order. All whole epochs use each document
+    once; of the last epoch the prefix is used whose tokens come closest to the rest of the budget. Its end is found in partial sums
     over leading bits of the seeded position, then among the documents of one such bucket, so no task ranks a leaf.
     Documents without tokens are never used. The same input and seed give the same rows.
     """
+    levels = list(levels)
     few = plan.limit(LIGHT + 1).count() <= LIGHT
     hint = F.broadcast if few else (lambda df: df)
-    leaf = plan.where("epochs > 0 OR rest > 0").select("mix_name", F.col("source").alias("s"), F.col("lang").alias("l"), "epochs", "rest")
-    docs = sizes.where("tokens > 0").join(hint(leaf), F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
+
+    def same(prefix: str, mix: bool) -> Column:
+        match = F.col("mix_name") == F.col(f"{prefix}mix") if mix else F.lit(True)
+        for c in levels:
+            match = match & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+        return match
+
+    leaf = plan.where("epochs > 0 OR rest > 0").select("mix_name", *[F.col(c).alias(f"p_{c}") for c in levels], "epochs", "rest")
+    docs = sizes.where("tokens > 0").join(hint(leaf), same("p_", False))
     place = F.xxhash64(F.lit(seed), "mix_name", "epochs", "doc_id")
-    docs = docs.select("mix_name", "source", "lang", "doc_id", "tokens", "epochs", "rest", place.alias("u"))
+    docs = docs.select("mix_name", *levels, "doc_id", "tokens", "epochs", "rest", place.alias("u"))
     docs = docs.withColumn("b", F.shiftrightunsigned("u", 64 - BITS))
-    w = W.partitionBy("mix_name", "source", "lang").orderBy("b")
-    sums = docs.where("rest > 0").groupBy("mix_name", "source", "lang", "b", "rest").agg(F.sum("tokens").alias("t"))
+    w = W.partitionBy("mix_name", *levels).orderBy("b")
+    sums = docs.where("rest > 0").groupBy("mix_name", *levels, "b", "rest").agg(F.sum("tokens").alias("t"))
     last = sums.withColumn("upto", F.sum("t").over(w)).where("upto - t < rest AND rest <= upto")
-    last = last.select(F.col("mix_name").alias("m"), F.col("source").alias("s"), F.col("lang").alias("l"), F.col("b").alias("cut"), (F.col("upto") - F.col("t")).alias("below"))
-    same = (F.col("mix_name") == F.col("m")) & F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l"))
-    placed = docs.join(hint(last), same, "left")
+    last = last.select(F.col("mix_name").alias("q_mix"), *[F.col(c).alias(f"q_{c}") for c in levels], F.col("b").alias("cut"), (F.col("upto") - F.col("t")).alias("below"))
+    placed = docs.join(hint(last), same("q_", True), "left")
     used = placed.where("cut IS NULL OR b <> cut").withColumn("uses", F.col("epochs") + F.when(F.col("b") < F.col("cut"), 1).otherwise(0))
-    inner = W.partitionBy("mix_name", "source", "lang").orderBy("u", "doc_id")
+    inner = W.partitionBy("mix_name", *levels).orderBy("u", "doc_id")
     edge = placed.where("b = cut").withColumn("upto", F.col("below") + F.sum("tokens").over(inner))
     edge = edge.withColumn("uses", F.col("epochs") + F.when(F.col("upto") - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0))
-    columns = ["mix_name", "source", "lang", "doc_id", "tokens", "uses"]
+    columns = ["mix_name", *levels, "doc_id", "tokens", "uses"]
     return used.select(columns).unionByName(edge.select(columns)).where("uses > 0")
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.llm import mixing
-from stratafold.llm.bpe import encode_corpus
+from stratafold.llm.bpe import TOKENIZERS, encode_corpus, encoder_functions
 from stratafold.llm.components import linked_groups, list_links
 from stratafold.llm.lookalike import canonical, same_look_classes, same_look_pairs
 from stratafold.llm.mojibake import held_out, restore_encoding
 from stratafold.llm.setjoin import folder_contents, similar_classes, similar_sets
+from stratafold.session import spread
 from stratafold.sources.tables import table
 
 
@@ -69,6 +70,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and those among them whose ids don't decode to their text."""
+    encode, _, decode = encoder_functions(spark, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    texts = table(spark, d, "documents").select("text")
+    back = spread(texts).select(F.coalesce("text", F.lit("")).alias("text"), decode(encode("text")).alias("back"))
+    return back.agg(F.count("*").alias("documents"), F.count_if(~F.col("back").eqNullSafe(F.col("text"))).alias("mismatches"))
+
+
 def _mixture(spark: SparkSession, d: str, keep_source_shares: bool) -> tuple[DataFrame, DataFrame]:
     sizes = mixing.corpus_sizes(table(spark, d, "documents"))
     plan = mixing.mixture_budgets(sizes, table(spark, d, "mix_plans"), keep_source_shares)
@@ -95,6 +104,29 @@ def p7_shares_filled(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, d, False))
 
 
+LEVELS = ("domain", "lang", "source")
+
+
+def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    domains = docs.select("doc_id", mixing.domain(F.col("root_dir")).alias("domain"))
+    sizes = mixing.corpus_sizes(docs).join(domains, "doc_id")
+    plans = table(spark, d, "mix_plans")
+    plan = mixing.tree_budgets(sizes, plans, plans.select("mix_name", F.lit("source").alias("level"), F.col("source").alias("value"), "weight"), LEVELS)
+    return plan, mixing.draw(sizes, plan, levels=LEVELS)
+
+
+def p7_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mixture by a tree of domains (first part of the folder), languages and sources: domains and languages of
+    equal weight, sources by the plan; small domains and languages run short, and siblings make up for them before ancestors."""
+    return _tree(spark, d)[1]
+
+
+def p7_tree_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by weight, budget after redistribution and tokens reached of each leaf of the tree."""
+    return mixing.tree_shares(*_tree(spark, d), LEVELS)
+
+
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     """The affected documents with their text restored where it can be."""
     return restore_encoding(table(spark, d, "documents"), "doc_id")
@@ -112,7 +144,8 @@ def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_classes": p1_classes, "p1_forms": p1_forms, "p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p5_classes": p5_classes, "p5_members": p5_members,
-    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_mix_filled": p7_mix_filled, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
+    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mix": p7_mix, "p7_mix_filled": p7_mix_filled, "p7_shares": p7_shares, "p7_shares_filled": p7_shares_filled,
+    "p7_tree": p7_tree, "p7_tree_shares": p7_tree_shares,
     "p8_found": p8_found, "p8_restored": p8_restored, "p8_held_out": p8_held_out,
 }
 
@@ -140,5 +173,6 @@ SELECT min(root) AS group_dir, dir FROM (SELECT * FROM r UNION ALL SELECT a, a F
     "p5_classes": _CLASSES + """SELECT dir_a, dir_b, round(percent, 1) AS percent, shared_bytes FROM q JOIN c x ON x.dir = dir_a JOIN c y ON y.dir = dir_b
 WHERE percent >= 75 AND x.class_dir = dir_a AND y.class_dir = dir_b AND x.class_dir <> y.class_dir""",
     "p5_members": _CLASSES + "SELECT dir, class_dir FROM c",
+    "p6_roundtrip": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS mismatches FROM documents",
     "p5_pairs": _SETS + "SELECT dir_a, dir_b, round(percent, 1) AS percent, shared_bytes FROM q WHERE percent >= 75",
 }

@@ -50,3 +50,16 @@ def test_other_vocabulary(texts):
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     own = BytePairEncoder(ranks)
     assert [own.encode(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_vocabulary_of_many_languages(spark, texts):
+    tiktoken = pytest.importorskip("tiktoken")
+    from stratafold.llm.bpe import PATTERN
+
+    path = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: list(r["ids"]) for r in encode_corpus(df, path=path).select("doc_id", "ids").collect()}
+    assert found == {k: library.encode_ordinary(t) if len(t) < 5_000 else found[k] for k, t in enumerate(texts)}
+    own = BytePairEncoder(load_ranks(path))
+    assert [own.decode(found[k]) for k in range(len(texts))] == texts

@@ -34,6 +34,71 @@ def test_siblings_before_ancestors():
     assert list(mixing.budgets(t, ["domain", "lang", "source"], 200, fixed=["domain"])) == pytest.approx([10, 15, 20, 100])
 
 
+def by_level(weights, caps, budget):
+    """The budgets of siblings another way: the level at which all of them filled up to it take the budget, by bisection."""
+    budget = min(budget, sum(c for w, c in zip(weights, caps) if w > 0))
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(c, mid * w) for w, c in zip(weights, caps)) < budget else (low, mid)
+    return [min(c, high * w) for w, c in zip(weights, caps)]
+
+
+def by_hand(rows, budget, depth=0):
+    """{path: budget} of rows (path, weights, cap)."""
+    if depth == 3:
+        return {rows[0][0]: min(budget, rows[0][2])}
+    parts = defaultdict(list)
+    for row in rows:
+        parts[row[0][depth]].append(row)
+    capacity = lambda part, d: part[0][2] if d == 3 else sum(capacity(p, d + 1) for p in split(part, d) if p[0][1][d] > 0)
+    split = lambda part, d: [[r for r in part if r[0][d] == v] for v in dict.fromkeys(r[0][d] for r in part)]
+    out = {}
+    for part, b in zip(parts.values(), by_level([p[0][1][depth] for p in parts.values()], [capacity(p, depth + 1) for p in parts.values()], budget)):
+        out |= by_hand(part, b, depth + 1)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_trees_against_bisection(seed):
+    r = random.Random(seed)
+    weight, rows = {}, []
+    for d in "abc":
+        for k in "xyz":
+            for s in "pqr":
+                if r.random() < 0.8:
+                    path = (d, d + k, d + k + s)
+                    w = tuple(weight.setdefault(n, r.choice([1.0, 2.0, 5.0])) for n in path)
+                    rows.append((path, w, float(r.choice([1, 10, 200, 1000]))))
+    frame = tree([(*path, *w, cap) for path, w, cap in rows])
+    for total in (5.0, 300.0, 1500.0, 1e6):
+        own = list(mixing.budgets(frame, ["domain", "lang", "source"], total))
+        hand = by_hand(rows, total)
+        assert own == pytest.approx([hand[path] for path, _, _ in rows], abs=1e-3)
+
+
+def test_tree_of_documents(spark):
+    r = random.Random(2)
+    rows = [(k, r.choice(["/a"] * 6 + ["/b", None]), r.choice(["en"] * 5 + ["de"]), r.choice(["s", "t"]), r.choice([0, 20, 50])) for k in range(2000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, domain string, lang string, source string, tokens bigint")
+    mixes = spark.createDataFrame([("m", 0.8, 2), ("m", None, 1), (None, 1.0, 1), ("none", None, None)], "mix_name string, total_fraction double, max_repeats int")
+    weights = spark.createDataFrame([("m", "source", "s", 3.0), ("m", "source", "t", 1.0), ("m", "domain", "/b", None), ("x", "lang", "en", 9.0)], "mix_name string, level string, value string, weight double")
+    levels = ("domain", "lang", "source")
+    plan = mixing.tree_budgets(sizes, mixes, weights, levels)
+    held = defaultdict(float)
+    for _, *path, n in rows:
+        held[tuple(path)] += n
+    w = lambda p: (0.0 if p[0] == "/b" else 1.0, 1.0, 3.0 if p[2] == "s" else 1.0)
+    hand = by_hand([(p, w(p), 2 * n) for p, n in held.items() if n], 0.8 * sum(held.values()))
+    got = {(x["domain"], x["lang"], x["source"]): x for x in plan.where("mix_name = 'm'").collect()}
+    assert {p: pytest.approx(x["budget"], abs=1e-3) for p, x in got.items()} == hand
+    assert any(abs(x["budget"] - x["share_tokens"]) > 100 for x in got.values())  # redistributed
+    table = mixing.tree_shares(plan, mixing.draw(sizes, plan, levels=levels), levels).collect()
+    assert all(abs(x["reached_tokens"] - x["budget_tokens"]) <= 50 and x["most_uses"] <= 2 for x in table if x["mix_name"] == "m")
+    assert all(x["reached_tokens"] == 0 for x in table if x["mix_name"] == "none")
+    assert mixing.tree_budgets(sizes.limit(0), mixes, weights, levels).count() == 0
+
+
 SIZES = "doc_id bigint, source string, lang string, tokens bigint"
 PLANS = "mix_name string, source string, weight double, max_repeats int, total_fraction double, extra string"
 
