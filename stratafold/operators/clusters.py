@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,23 +49,45 @@ def hash_classes(hashes: DataFrame) -> DataFrame:
     return hashes.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("rep"))
 
 
-def near_hashes(hashes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
+def band_radii(radius: int, bands: int) -> list[int]:
+    """Differing bits to allow in each band so that no pair within ``radius`` is lost: with one more than allowed in every band a
+    pair would differ in more than ``radius`` bits. -1 leaves a band out."""
+    whole, more = divmod(radius + 1, bands)
+    return [whole - (k >= more) for k in range(bands)]
+
+
+def near_hashes(hashes: DataFrame, radius: int, bits: int = 64, bands: int | None = None) -> DataFrame:
     """``(a, b, distance)``, a < b: pairs of representatives of ``hashes(id, hash)`` that differ in 1 to ``radius`` bits.
 
     Equal hashes are one class, whose smallest id represents it (``hash_classes``), so copies are never paired with
-    each other. The bits are cut in ``radius + 1`` bands, so a near pair agrees in one band at least: an equality join on
-    (band, value) and an exact check, not all pairs. It is kept at the first band it agrees in, which needs no distinct.
+    each other; null hashes are in no pair. The bits are cut in a few wide bands, each with a radius of its own (:func:`band_radii`). A
+    pair near in a band has a value between both: one side lists the values up to half of that radius away, the other the
+    rest, and an equality join on (band, value) brings them together. The exact distance decides; nothing is lost. Bands are as
+    wide as the number of classes asks for (some log2 n bits), unless ``bands`` is given; the result doesn't depend on it.
     """
-    bands = radius + 1
+    classes = hash_classes(hashes).select(F.col("rep").alias("id"), "hash")
+    if bands is None:
+        bands = max(1, min(radius + 1, round(bits / max(16, classes.count().bit_length()))))
     ends = [round(k * bits / bands) for k in range(bands + 1)]
-    mask = lambda w: -1 if w >= 64 else (1 << w) - 1
-    part = lambda h, k: F.shiftrightunsigned(h, ends[k]).bitwiseAND(F.lit(mask(ends[k + 1] - ends[k])).cast("bigint"))
-    parts = F.array(*[F.struct(F.lit(k).alias("band"), part("hash", k).alias("value")) for k in range(bands)])
-    rows = hash_classes(hashes).select(F.col("rep").alias("id"), "hash", F.explode(parts).alias("p")).select("id", "hash", "p.band", "p.value")
-    l, r = rows.withColumnsRenamed({"id": "a", "hash": "ha"}), rows.withColumnsRenamed({"id": "b", "hash": "hb"})
-    close = l.join(r, ["band", "value"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= radius)
-    agree = F.array(*[part("ha", k) == part("hb", k) for k in range(bands)])
-    return close.where(F.array_position(agree, True) == F.col("band") + 1).select("a", "b", "distance")
+    flips: list[list[tuple[int, int]]] = [[], []]
+    for k, r in enumerate(band_radii(radius, bands)):
+        for side, reach in enumerate(((r + 1) // 2, r // 2) if r >= 0 else ()):
+            places = range(ends[k], ends[k + 1])
+            flips[side] += [(k, _signed(sum(1 << i for i in c))) for n in range(reach + 1) for c in combinations(places, n)]
+    spark = hashes.sparkSession
+    whole = F.create_map(*[x for k in range(bands) for x in (F.lit(k), F.lit(_signed((1 << ends[k + 1]) - (1 << ends[k]))))])
+
+    def probes(side: int, ident: str, value: str) -> DataFrame:
+        masks = spark.createDataFrame(flips[side] or [(-1, 0)], "band int, flip bigint")
+        at = F.col("hash").bitwiseXOR(F.col("flip")).bitwiseAND(F.element_at(whole, F.col("band")))
+        return classes.crossJoin(F.broadcast(masks)).select("band", at.alias("at"), F.col("id").alias(ident), F.col("hash").alias(value))
+
+    close = probes(0, "a", "ha").join(probes(1, "b", "hb"), ["band", "at"]).where("a < b")
+    return close.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).where(F.col("distance") <= radius).distinct()
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def lookalike_groups(hashes: DataFrame, radius: int) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions.paths import ancestors, is_under, relative
+from stratafold.operators.tree import dirs_under, files_under
+from stratafold.session import cut
 
 # Folders of one class that are paired at most, pairs kept, evidence rows of a pair.
 FANOUT = 64
@@ -75,11 +77,24 @@ def top_pairs(scored: DataFrame, k: int = PAIRS) -> DataFrame:
     return scored.orderBy(F.desc("shared_bytes"), F.desc("percent"), F.desc("dir_a"), F.desc("dir_b")).limit(k)
 
 
+def best_pairs(pairs: DataFrame, counts: DataFrame, sums: DataFrame, k: int = PAIRS) -> DataFrame:
+    """:func:`top_pairs` of :func:`score_pairs`, without scoring all pairs. A pair shares no more than the smaller of both folders'
+    duplicate bytes. The ``k`` pairs of the greatest bounds are scored first; their least shared bytes are reached by k pairs, so
+    only pairs whose bound reaches them too can be among the first ``k``."""
+    held = counts.groupBy("dir").agg(F.sum(F.col("size") * F.col("n")).alias("held"))
+    bounded = pairs.join(held.select(F.col("dir").alias("dir_a"), F.col("held").alias("ha")), "dir_a").join(held.select(F.col("dir").alias("dir_b"), F.col("held").alias("hb")), "dir_b")
+    bounded = cut(bounded.select("dir_a", "dir_b", F.least("ha", "hb").alias("bound")))
+    first = score_pairs(bounded.orderBy(F.desc("bound"), "dir_a", "dir_b").limit(k).select("dir_a", "dir_b"), counts, sums)
+    n, least = first.agg(F.count("*"), F.min("shared_bytes")).head()
+    rest = bounded.where(F.col("bound") >= (least if n >= k else 1))
+    return top_pairs(score_pairs(rest.select("dir_a", "dir_b"), counts, sums), k)
+
+
 def evidence(pairs: DataFrame, dup: DataFrame, limit: int = EVIDENCE) -> DataFrame:
     """(dir_a, dir_b, class_id, size, path_a, path_b): the common classes of each pair by size, at most ``limit`` a pair, with
     the first path on either side."""
-    wanted = pairs.select(F.col("dir_a").alias("root")).union(pairs.select("dir_b")).distinct()
-    up = dup.select(F.explode(ancestors(F.col("dir"), include_self=True)).alias("root"), "class_id", "size", "path").join(wanted, "root", "left_semi")
+    wanted = pairs.select(F.col("dir_a").alias("root")).union(pairs.select("dir_b"))
+    up = files_under(dup, wanted)
     first = up.groupBy("root", "class_id").agg(F.min("path").alias("path"), F.max("size").alias("size"))
     l = first.select(F.col("root").alias("dir_a"), "class_id", "size", F.col("path").alias("path_a"))
     r = first.select(F.col("root").alias("dir_b"), "class_id", F.col("path").alias("path_b"))
@@ -90,11 +105,11 @@ def evidence(pairs: DataFrame, dup: DataFrame, limit: int = EVIDENCE) -> DataFra
 
 def _sides(pairs: DataFrame, files: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The files below either folder of each pair, with their path below it."""
-    up = files.select(F.explode(ancestors(F.col("dir"), include_self=True)).alias("root"), "path", "size", "class_id")
     out = []
     for side in ("a", "b"):
         p = pairs.select(*keys, F.col(f"dir_{side}").alias("root")).distinct()
-        out.append(up.join(p, "root").select(*keys, F.col("path"), F.col("size"), F.col("class_id"), relative(F.col("path"), F.col("root")).alias("rel")))
+        below = dirs_under(files, p).join(p, "root")
+        out.append(files.join(below, "dir").select(*keys, "path", "size", "class_id", relative(F.col("path"), F.col("root")).alias("rel")))
     return out[0], out[1]
 
 

@@ -9,49 +9,50 @@ from stratafold.functions.paths import ancestors, nfc
 from stratafold.session import cut
 
 
+#: Pieces of an entry's hashes that are summed: (hash, first bit); sums of PIECE bits don't overflow below 2 ** 35 entries.
+PIECE = 28
+_PIECES = [("h", 0), ("h", PIECE), ("g", 0), ("g", PIECE)]
+
+
 def folder_digests(folders: DataFrame, files: DataFrame, links: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """``(dir, digest)``: equal for folders with equal trees, null where that can't be proven.
 
-    A folder's manifest lists its files, links and hard-link aliases by NFC name with class or target, and its
-    sub-folders with their digests. It is null if the folder is incomplete, a file's class is unknown or a sub-folder's
-    digest is null. Empty complete folders are all equal. One step per level, deepest first: every step aggregates the
-    direct entries of a folder only, never all that lies below it. ``folders(dir, parent, depth, ok)``,
-    ``files(dir, name, class_id)``, ``links(dir, name, target)``, ``aliases(dir, name, class_id)``.
+    A folder's tree is the multiset of all that lies below it: files, links and hard-link aliases by their NFC path below the folder
+    with class or target, and sub-folders, empty ones too, by their path. The digest is null if the folder or one below is
+    incomplete or a file's class is unknown. Each entry is hashed once for every folder above it, and the hashes are added
+    up: sums don't depend on order and combine on the map side, so one aggregation does for all levels and no task holds a
+    folder's entries, however many. ``folders(dir, ok)``, ``files(dir, name, class_id)``, ``links(dir, name, target)``,
+    ``aliases(dir, name, class_id)``; other columns are ignored.
     """
-    entry = lambda tag, name, key: F.struct(F.lit(tag).alias("tag"), nfc(F.col(name)).alias("name"), F.col(key).alias("key"))
-    direct = files.select("dir", entry("1F", "name", "class_id").alias("e"))
+    below = F.when(F.col("dir") == "/", "").otherwise(F.col("dir"))
+
+    def entries(rows: DataFrame, tag: str, key: str) -> DataFrame:
+        return rows.select(F.concat(below, F.lit("/"), F.col("name")).alias("p"), F.lit(tag).alias("tag"), F.col(key).alias("key"), F.col(key).isNull().alias("bad"), F.lit(1).alias("own"))
+
+    rows = entries(files, "F", "class_id")
     if links is not None:
-        direct = direct.unionByName(links.select("dir", entry("2L", "name", "target").alias("e")))
+        rows = rows.unionByName(entries(links, "L", "target"))
     if aliases is not None:
-        direct = direct.unionByName(aliases.select("dir", entry("3F", "name", "class_id").alias("e")))
-    # a folder's own entries as a compact manifest, once
-    own = direct.groupBy("dir").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    own = own.select("dir", F.exists("es", lambda e: e["key"].isNull()).alias("unknown"), F.sha2(F.to_json("es"), 256).alias("own"))
-    base = cut(
-        folders.join(own, "dir", "left").select("dir", "parent", "depth", (F.col("ok") & ~F.coalesce("unknown", F.lit(False))).alias("ok"), F.coalesce("own", F.lit("")).alias("own"))
-    )
-    deepest = base.agg(F.max("depth")).head()[0]
-    done: list[DataFrame] = []
-    below: DataFrame | None = None
-    for level in range(deepest or 0, 0, -1):
-        here = base.where(F.col("depth") == level)
-        if below is None:
-            step = here.select("dir", "parent", F.when(F.col("ok"), F.sha2(F.concat_ws("|", "own", F.lit("")), 256)).alias("digest"))
-        else:
-            child = F.struct(nfc(F.element_at(F.split("dir", "/"), -1)).alias("name"), "digest")
-            inner = below.groupBy(F.col("parent").alias("dir")).agg(F.array_sort(F.collect_list(child)).alias("cs"))
-            joined = here.join(inner, "dir", "left").withColumn("cs", F.coalesce("cs", F.array().cast("array<struct<name:string,digest:string>>")))
-            provable = F.col("ok") & ~F.exists("cs", lambda c: c["digest"].isNull())
-            names = F.array_join(F.transform("cs", lambda c: F.to_json(F.array(c["name"], c["digest"]))), ",")
-            step = joined.select("dir", "parent", F.when(provable, F.sha2(F.concat_ws("|", "own", names), 256)).alias("digest"))
-        below = cut(step)
-        done.append(below)
-    if not done:
-        return base.select("dir", F.lit(None).cast("string").alias("digest"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("dir", "digest")
+        rows = rows.unionByName(entries(aliases, "A", "class_id"))
+    rows = rows.unionByName(folders.select(F.col("dir").alias("p"), F.lit("D").alias("tag"), F.lit("").alias("key"), ~F.coalesce("ok", F.lit(False)), F.lit(0).alias("own")).toDF("p", "tag", "key", "bad", "own"))
+    flat = F.regexp_replace(F.concat(F.lit("/"), F.col("p")), "/+", "/")
+    rows = rows.withColumn("p", F.rtrim(flat, F.lit("/"))).withColumn("n", F.size(F.split("p", "/")) - 1)
+    rows = rows.where("n > own").select("*", nfc(F.col("p")).alias("q"), F.explode(F.sequence(F.lit(1), F.col("n") - F.col("own"))).alias("k"))
+    rest = F.when(F.col("k") < F.col("n"), F.expr("substring_index(q, '/', k - n)")).otherwise("")
+    up = rows.select(F.expr("substring_index(p, '/', k + 1)").alias("dir"), "tag", "key", "bad", rest.alias("rel"), (F.col("own") == 0).alias("folder"))
+    hashed = up.select("dir", "bad", "folder", F.xxhash64("tag", "rel", "key").alias("h"), F.xxhash64("key", "rel", "tag", F.lit("g")).alias("g"))
+    part = lambda c, at: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << PIECE) - 1).cast("bigint"))
+    sums = [F.sum(part(c, at)).alias(f"{c}{at}") for c, at in _PIECES]
+    g = hashed.groupBy("dir").agg(F.bool_or("bad").alias("bad"), F.bool_or("folder").alias("known"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), *sums)
+    text = F.concat_ws(":", "n", "x", *[f"{c}{at}" for c, at in _PIECES])
+    return g.where("known").select("dir", F.when(~F.col("bad"), F.sha2(text, 256)).alias("digest"))
+
+
+def dirs_under(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(dir, root)``: the folders of ``files`` at or below each of ``roots(root)``. Only distinct folders are joined with the roots, so a
+    root that holds most files is no hot key."""
+    up = files.select("dir").distinct().select("dir", F.explode(ancestors(F.col("dir"), include_self=True)).alias("root"))
+    return up.join(roots.select("root").distinct(), "root", "left_semi")
 
 
 def subtree_sums(files: DataFrame) -> DataFrame:
@@ -87,8 +88,8 @@ def tree_state(folders: DataFrame) -> DataFrame:
 
 def storage_signatures(files: DataFrame, dirs: DataFrame) -> DataFrame:
     """``(dir, signature)``: a digest of the sorted storage places of all files below each of ``dirs``; null if one is unknown."""
-    up = files.select(F.explode(ancestors(F.col("dir"), include_self=True)).alias("dir"), "storage_dev", "storage_off")
-    up = up.join(dirs.select("dir").distinct(), "dir", "left_semi")
+    below = dirs_under(files, dirs.select(F.col("dir").alias("root")))
+    up = files.join(below, "dir").select(F.col("root").alias("dir"), "storage_dev", "storage_off")
     known = F.col("storage_dev").isNotNull() & F.col("storage_off").isNotNull()
     # order-free and of fixed size: sums of two hashes over the places
     g = up.groupBy("dir").agg(
@@ -111,9 +112,8 @@ def folder_families(groups: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def files_under(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """The files below each root, with column ``root``: an equality join on exploded ancestors, not a prefix scan."""
-    up = files.withColumn("root", F.explode(ancestors(F.col("dir"), include_self=True)))
-    return up.join(roots.select("root").distinct(), "root", "left_semi")
+    """The files below each root, with column ``root``: an equality join on folders, not a prefix scan."""
+    return files.join(dirs_under(files, roots), "dir").select(*files.columns, "root")
 
 
 def longest_root(paths: DataFrame, roots: DataFrame, column: str = "path") -> DataFrame:
@@ -123,8 +123,6 @@ def longest_root(paths: DataFrame, roots: DataFrame, column: str = "path") -> Da
     return paths.join(best, column, "left")
 
 
-
-
 def state_digests(folders: DataFrame, entries: DataFrame) -> DataFrame:
     """``(dir, digest)`` over the identity of every entry below a folder instead of its content: two calls tell whether anything was
     touched in between. ``entries(dir, name, size, mtime_ns, ctime_ns, dev, ino)`` may hold more columns, which don't count."""

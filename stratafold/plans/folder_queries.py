@@ -106,16 +106,22 @@ scored AS (SELECT dir_a, dir_b, round(200 * shared_bytes / (x.bytes + y.bytes),
 top AS (SELECT * FROM scored ORDER BY shared_bytes DESC, percent DESC, dir_a DESC, dir_b DESC LIMIT 400)"""
 
 
-def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _candidates(spark: SparkSession, d: str, sampled: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = cut(I.files(spark, d))
     dup = I.duplicates(rows)
-    pairs = similar.candidate_pairs(dup, _digests(rows))
-    return similar.score_pairs(pairs, similar.class_counts(dup), tree.subtree_sums(rows)), dup
+    pairs = similar.candidate_pairs(dup, _digests(rows), sampled=sampled)
+    return pairs, cut(similar.class_counts(dup)), tree.subtree_sums(rows), dup
 
 
 @query("f_similar_folders", f"WITH {_PAIRS} SELECT * FROM top")
 def f_similar_folders(spark: SparkSession, d: str) -> DataFrame:
-    return similar.top_pairs(_scored(spark, d)[0])
+    return similar.best_pairs(*_candidates(spark, d)[:3])
+
+
+@query("f_similar_folders_exact", f"WITH {_PAIRS.replace('cap AS (SELECT class_id, dir FROM cd WHERE n >= 2 AND (n <= 64 OR list_contains(list_transform(range(0, 64), lambda i: i * (n - 1) // 63), k))),', 'cap AS (SELECT class_id, dir FROM cd WHERE n >= 2),')} SELECT * FROM scored")
+def f_similar_folders_exact(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of folders that share content: no bound on the folders of a class, none on the pairs."""
+    return similar.score_pairs(*_candidates(spark, d, sampled=False)[:3])
 
 
 @query("f_fanout_sample", f"WITH {DUP}, cd AS (SELECT class_id, dir, row_number() OVER (PARTITION BY class_id ORDER BY dir) - 1 AS k, count(*) OVER (PARTITION BY class_id) AS n FROM (SELECT DISTINCT class_id, dir FROM dup)) SELECT class_id, dir FROM cd WHERE n >= 2 AND (n <= 64 OR list_contains(list_transform(range(0, 64), lambda i: i * (n - 1) // 63), k))")
@@ -130,8 +136,8 @@ def f_fanout_sample(spark: SparkSession, d: str) -> DataFrame:
     SELECT * EXCLUDE k FROM e WHERE k <= 60""",
 )
 def f_evidence(spark: SparkSession, d: str) -> DataFrame:
-    scored, dup = _scored(spark, d)
-    return similar.evidence(cut(similar.top_pairs(scored)), dup)
+    *found, dup = _candidates(spark, d)
+    return similar.evidence(cut(similar.best_pairs(*found)), dup)
 
 
 _SIDES = f"""{INV},

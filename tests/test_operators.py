@@ -135,6 +135,31 @@ def test_candidates_without_the_bound_are_all_pairs(spark):
     assert similar.candidate_pairs(I.duplicates(df), digests(spark, df)).count() == 64 * 63 // 2
 
 
+def test_best_pairs_are_the_first_of_all_scored(spark):
+    r = random.Random(5)
+    rows = [(f"/{r.choice('ab')}/d{r.randrange(9)}/f{k}", 10 * x + 1, c(10 * x + 1, f"{x}")) for k, x in enumerate(r.randrange(14) for _ in range(120))]
+    df = files(spark, rows)
+    dup = I.duplicates(df)
+    found = similar.candidate_pairs(dup, digests(spark, df)), similar.class_counts(dup), tree.subtree_sums(df)
+    for k in (1, 5, 1000):
+        want = [tuple(x) for x in similar.top_pairs(similar.score_pairs(*found), k).collect()]
+        assert [tuple(x) for x in similar.best_pairs(*found, k).collect()] == want
+
+
+def test_empty_folders_links_and_aliases_count(spark):
+    schema = "dir string, name string, class_id string"
+    f = spark.createDataFrame([("/A", "x", "1:a"), ("/B", "x", "1:a"), ("/C", "x", "1:a"), ("/D", "x", "1:a")], schema)
+    ok = [(d, True) for d in ("/A", "/A/e", "/B", "/B/e", "/C", "/D", "/D/e", "/E", "/F")]
+    folders = spark.createDataFrame(ok, "dir string, ok boolean")
+    links = spark.createDataFrame([("/A", "l", "x"), ("/B", "l", "x"), ("/D", "l", "y")], "dir string, name string, target string")
+    aliases = spark.createDataFrame([("/E", "h", "1:a"), ("/F", "h", "1:a")], schema)
+    by = {}
+    for r in tree.folder_digests(folders, f, links, aliases).collect():
+        by.setdefault(r["digest"], set()).add(r["dir"])
+    assert {frozenset(v) for v in by.values()} == {frozenset(x) for x in ({"/A", "/B"}, {"/A/e", "/B/e", "/D/e"}, {"/C"}, {"/D"}, {"/E", "/F"})}
+    assert tree.folder_digests(folders.limit(0), f.limit(0)).count() == 0
+
+
 def test_compare_diff_share_and_merge(spark):
     a = [("/a/same", 10, c(10, "a")), ("/a/diff", 10, c(10, "b")), ("/a/moved", 7, c(7, "c")), ("/a/mine", 5, "u:1"), ("/a/unread", 1, None)]
     b = [("/b/same", 10, c(10, "a")), ("/b/diff", 10, c(10, "d")), ("/b/x/there", 7, c(7, "c")), ("/b/yours", 3, "u:2"), ("/b/unread", 1, None)]
@@ -162,6 +187,18 @@ def test_clusters(spark):
 
 @pytest.mark.parametrize("radius", [0, 3, 10])
 def test_near_hashes(spark, radius):
+    check_near_hashes(spark, radius)
+
+
+@pytest.mark.parametrize("radius,bands", [(16, None), (10, 3), (5, 6), (2, 1)])
+def test_bands_of_any_width(spark, radius, bands, monkeypatch):
+    find = clusters.near_hashes
+    monkeypatch.setattr(clusters, "near_hashes", lambda h, r: find(h, r, bands=bands))
+    check_near_hashes(spark, radius)
+    assert sum(r + 1 for r in clusters.band_radii(radius, bands or 4)) == radius + 1
+
+
+def check_near_hashes(spark, radius):
     r = random.Random(radius)
     base = [r.getrandbits(64) - 2**63 for _ in range(25)]
     hashes = [(k, b ^ sum({1 << r.randrange(63) for _ in range(r.randrange(0, 6))})) for k, b in enumerate(base * 4)]
