@@ -110,7 +110,7 @@ def _candidates(spark: SparkSession, d: str, sampled: bool = True) -> tuple[Data
     rows = cut(I.files(spark, d))
     dup = I.duplicates(rows)
     pairs = similar.candidate_pairs(dup, _digests(rows), sampled=sampled)
-    return pairs, cut(similar.class_counts(dup)), tree.subtree_sums(rows), dup
+    return pairs, cut(similar.class_counts(dup)), cut(tree.subtree_sums(rows)), dup
 
 
 @query("f_similar_folders", f"WITH {_PAIRS} SELECT * FROM top")
