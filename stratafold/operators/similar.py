@@ -43,7 +43,7 @@ def candidate_pairs(dup: DataFrame, digests: DataFrame, ignored: DataFrame | Non
     pairs = steps.select(F.least("a", "b").alias("dir_a"), F.greatest("a", "b").alias("dir_b")).distinct()
     pairs = pairs.where(~is_under(F.col("dir_a"), F.col("dir_b")) & ~is_under(F.col("dir_b"), F.col("dir_a")))
     if ignored is not None:
-        pairs = pairs.join(ignored, ["dir_a", "dir_b"], "left_anti")
+        pairs = without_ignored(pairs, ignored)
     known = digests.where("digest IS NOT NULL")
     marked = pairs.join(known.select(F.col("dir").alias("dir_a"), F.col("digest").alias("da")), "dir_a", "left").join(
         known.select(F.col("dir").alias("dir_b"), F.col("digest").alias("db")), "dir_b", "left"
@@ -51,6 +51,13 @@ def candidate_pairs(dup: DataFrame, digests: DataFrame, ignored: DataFrame | Non
     return marked.where("da IS NULL OR db IS NULL OR da <> db").select("dir_a", "dir_b")
 
 
+def without_ignored(pairs: DataFrame, ignored: DataFrame) -> DataFrame:
+    """``pairs(dir_a, dir_b)`` without those of ``ignored(dir_a, dir_b)``, whichever way round either stands."""
+    key = lambda df: df.select(F.least("dir_a", "dir_b").alias("lo"), F.greatest("dir_a", "dir_b").alias("hi"))
+    marked = pairs.withColumn("lo", F.least("dir_a", "dir_b")).withColumn("hi", F.greatest("dir_a", "dir_b"))
+    return marked.join(key(ignored).distinct(), ["lo", "hi"], "left_anti").select(*pairs.columns)
+
+
 def class_counts(dup: DataFrame) -> DataFrame:
     """(dir, class_id, size, n): files of each class below each folder."""
     per = dup.groupBy("dir", "class_id").agg(F.count("*").alias("n"), F.max("size").alias("size"))
