@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.functions.paths import ancestors
+from stratafold.functions.paths import ancestors, is_under
 
 IDENTITY = ["dev", "ino", "size", "mtime_ns", "ctime_ns"]
 
@@ -104,3 +104,64 @@ def restorable(items: DataFrame, current: DataFrame, allowed: DataFrame) -> Data
         F.when(F.col("status") != "trashed", "done").when(F.col("there").isNull(), "gone").when(~same, "changed").when(F.col("inside").isNull(), "outside").when(F.col("taken"), "occupied").otherwise("ready")
     )
     return j.select("original_path", verdict.alias("verdict"))
+
+
+def paranoid_state(states: DataFrame, fresh: DataFrame, paranoid: bool = False) -> DataFrame:
+    """``(path, state)``: :func:`proof_state`'s rows (path, state, expected) after files were read again where needed: ``trusted``, or with
+    ``paranoid`` and for ``reread`` ``reread_ok`` if ``fresh(path, digest)`` holds the expected digest; else ``fail``."""
+    j = states.join(fresh.select("path", "digest"), "path", "left")
+    again = F.when(F.col("digest").isNotNull() & (F.col("digest") == F.col("expected")), "reread_ok").otherwise("fail")
+    state = F.when(F.col("state") == "fail", "fail").when((F.col("state") == "trusted") & F.lit(not paranoid), "trusted").otherwise(again)
+    return j.select("path", state.alias("state"))
+
+
+def claimed_survivors(victims: DataFrame, claimed: DataFrame, removed: DataFrame) -> DataFrame:
+    """``(path, safe)`` for ``victims(path, digest, dev, ino, claim)`` of unknown class that name the copy which stays: it must be
+    in ``claimed(path, digest, dev, ino)`` with the same digest on another inode, and neither itself nor a folder above it may be among
+    ``removed(path)``."""
+    up = claimed.select("path", F.explode(ancestors(F.col("path"), include_self=True)).alias("at"))
+    gone = up.join(removed.select(F.col("path").alias("at")).distinct(), "at", "left_semi").select("path").distinct()
+    stays = claimed.join(gone, "path", "left_anti").select(F.col("path").alias("claim"), F.col("digest").alias("d"), F.struct("dev", "ino").alias("inode"))
+    safe = (F.col("d") == F.col("digest")) & (F.col("inode") != F.struct("dev", "ino"))
+    return victims.join(stays, "claim", "left").select("path", F.coalesce(safe, F.lit(False)).alias("safe"))
+
+
+def folder_removal(folders: DataFrame, before: DataFrame, after: DataFrame, missing: DataFrame, cancelled: bool = False) -> DataFrame:
+    """``(dir, result, unproven)`` for ``folders(dir)``: ``changed`` if the state digest ``before(dir, digest)`` isn't that ``after``, or there is
+    none; ``abort`` with the number of files in ``missing(dir, path)`` that have no living copy outside; ``cancelled``; else ``ok``."""
+    n = missing.groupBy("dir").agg(F.count("*").alias("unproven"))
+    j = folders.select("dir").join(before.select("dir", F.col("digest").alias("b")), "dir", "left").join(after.select("dir", F.col("digest").alias("a")), "dir", "left").join(n, "dir", "left")
+    unproven_n = F.coalesce("unproven", F.lit(0))
+    result = F.when(F.lit(cancelled), "cancelled").when(F.coalesce(F.col("a") != F.col("b"), F.lit(True)), "changed").when(unproven_n > 0, "abort").otherwise("ok")
+    return j.select("dir", result.alias("result"), unproven_n.alias("unproven"))
+
+
+def transfer_status(named: DataFrame, read: DataFrame, expected: DataFrame) -> DataFrame:
+    """``(source, final, status)`` of the rows of :func:`final_names`: ``skipped`` where the target holds the same content, ``error`` if the
+    source's digest in ``read(path, digest)`` isn't the ``expected(path, digest)`` one or is missing, else ``transferred``."""
+    j = named.join(read.select(F.col("path").alias("source"), F.col("digest").alias("now")), "source", "left").join(expected.select(F.col("path").alias("source"), F.col("digest").alias("was")), "source", "left")
+    good = F.coalesce(F.col("now") == F.col("was"), F.lit(False)) | (F.col("was").isNull() & F.col("now").isNotNull())
+    status = F.when(F.col("action") == "skip", "skipped").when(~good, "error").otherwise("transferred")
+    return j.select("source", F.when(status == "transferred", F.col("final")).alias("final"), status.alias("status"))
+
+
+def prepared_merge(plan: DataFrame, fresh: DataFrame, roots: DataFrame) -> DataFrame:
+    """A merge plan (keys, bucket, size, source, target) made ready: with the ``digest`` just read of each source (``fresh(path, digest)``; links
+    need none), the identities of both folders from ``roots(root, dev, ino)``, and ``ready``, false where a digest or an identity is missing."""
+    identity = lambda side: roots.select(F.col("root").alias(side), F.struct("dev", "ino").alias(f"{side}_id"))
+    j = plan.join(fresh.select(F.col("path").alias("source"), "digest"), "source", "left").join(identity("dir_a"), "dir_a", "left").join(identity("dir_b"), "dir_b", "left")
+    ready = ((F.col("bucket") == "symlink") | F.col("digest").isNotNull()) & F.col("dir_a_id").isNotNull() & F.col("dir_b_id").isNotNull() & (F.col("dir_a_id") != F.col("dir_b_id"))
+    return j.select(*plan.columns, "digest", F.coalesce(ready, F.lit(False)).alias("ready"))
+
+
+def fresh_pair(entries: DataFrame, pair: tuple[str, str], content: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """The pair's ``(dir_a, dir_b, percent, shared_bytes, shared_total)`` by a new scan of its two folders, without profile, before anything
+    is done on an old result; no row if they share nothing now."""
+    from stratafold.operators import similar, tree
+    from stratafold.operators.scan import scan
+
+    a, b = sorted(pair)
+    inside = entries.where(is_under(F.col("path"), F.lit(a)) | is_under(F.col("path"), F.lit(b)))
+    s = scan(inside, content, classes, skip_cloud=False)
+    one = entries.sparkSession.createDataFrame([(a, b)], "dir_a string, dir_b string")
+    return similar.score_pairs(one, similar.class_counts(s.duplicates()), tree.subtree_sums(s.files))

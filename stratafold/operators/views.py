@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions.paths import casefold
@@ -74,7 +75,7 @@ def should_include(p: Profile, directory: bool = False) -> Column:
 
 def visible_copies(copies: DataFrame, text: str = "", kind: str = "all", preset: str = "all") -> DataFrame:
     """The copies (class_id, path, mtime_ns) a view shows: those whose folded path holds ``text`` and whose category is ``kind``,
-    in groups that fit the preset: ``safe`` has several copies and no unknown date, ``review`` an unknown date or a
+    in groups that fit the preset: ``all`` and ``largest`` are all of them (``largest`` is an order, see :func:`sorted_copies`), ``safe`` has several copies and no unknown date, ``review`` an unknown date or a
     copy on a volume, ``network`` a copy on a volume."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset: {preset}")
@@ -158,3 +159,150 @@ def mount_types(paths: DataFrame, mounts: DataFrame) -> DataFrame:
     trusted = F.col("fs_type").isin("apfs", "hfs")
     return j.select("path", "mount", "fs_type", F.coalesce(network, F.lit(False)).alias("network"), F.coalesce(trusted, F.lit(False)).alias("trusted"))
 
+
+
+def group_view(copies: DataFrame) -> DataFrame:
+    """``(class_id, path, sort_path, category, size_text, born, changed, undated)``: a group's copies as a view shows and sorts them;
+    times are null where unknown, and ``undated`` marks a copy without any."""
+    from stratafold.functions.text import human_bytes, minute_of
+
+    time = lambda c: F.when(F.col(c) > 0, F.col(c))
+    born, changed = time("btime_ns"), time("mtime_ns")
+    return copies.select(
+        "class_id", "path", casefold(F.col("path")).alias("sort_path"), category(F.col("path")).alias("category"), human_bytes(F.col("size")).alias("size_text"),
+        minute_of(born).alias("born"), minute_of(changed).alias("changed"), (born.isNull() & changed.isNull()).alias("undated"),
+    )
+
+
+def pair_view(pairs: DataFrame) -> DataFrame:
+    """``(dir_a, dir_b, name_a, name_b, sort_a, sort_b, percent_text, bytes_text)`` of similar folders."""
+    from stratafold.functions.paths import basename
+    from stratafold.functions.text import human_bytes
+
+    a, b = F.col("dir_a"), F.col("dir_b")
+    return pairs.select(
+        "dir_a", "dir_b", basename(a).alias("name_a"), basename(b).alias("name_b"), casefold(a).alias("sort_a"), casefold(b).alias("sort_b"),
+        F.format_string("%.1f%%", F.col("percent")).alias("percent_text"), human_bytes(F.col("shared_bytes")).alias("bytes_text"),
+    )
+
+
+# What copies and pairs can be sorted by.
+COPY_KEYS = {"path": "path", "size": "size", "born": "btime_ns", "changed": "mtime_ns"}
+PAIR_KEYS = {"a": "dir_a", "b": "dir_b", "percent": "percent", "bytes": "shared_bytes"}
+
+
+def sorted_copies(copies: DataFrame, key: str = "path", descending: bool = False, preset: str = "all") -> DataFrame:
+    """``copies(class_id, path, size, btime_ns, mtime_ns)`` with ``group_place`` and ``place``: groups by their class, or with the preset
+    ``largest`` by waste, greatest first; within each its copies by ``key``, unknown times as 0, then by path. The order of
+    groups doesn't depend on ``key``."""
+    from stratafold.operators.groups import duplicate_groups
+    from stratafold.operators.ranking import Order, running
+
+    g = duplicate_groups(copies).select("class_id", "wasted")
+    order = [Order(F.col("wasted"), True), Order(F.col("class_id"))] if preset == "largest" else [Order(F.col("class_id"))]
+    placed = running(g, order).select("class_id", F.col("k").alias("group_place"))
+    value = casefold(F.col("path")) if key == "path" else F.coalesce(F.col(COPY_KEYS[key]), F.lit(0))
+    w = W.partitionBy("class_id").orderBy(value.desc() if descending else value.asc(), "path")
+    return copies.join(placed, "class_id").withColumn("place", F.row_number().over(w))
+
+
+def sorted_pairs(pairs: DataFrame, key: str = "bytes", descending: bool = True) -> DataFrame:
+    """``pairs`` with ``k``, the place by one of ``PAIR_KEYS``, then by both folders."""
+    from stratafold.operators.ranking import Order, running
+
+    value = casefold(F.col(PAIR_KEYS[key])) if key in ("a", "b") else F.col(PAIR_KEYS[key])
+    return running(pairs, [Order(value, descending), Order(F.col("dir_a")), Order(F.col("dir_b"))])
+
+
+def cleared(selected: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """``selected(path)`` after clearing what is ``shown(path)``, or all of it."""
+    return selected.limit(0) if shown is None else selected.join(shown.select("path").distinct(), "path", "left_anti")
+
+
+def check_one(copies: DataFrame, selected: DataFrame, asked: DataFrame, protected: Sequence[str] = ()) -> DataFrame:
+    """``(path, allowed)`` for single copies ``asked(path)`` to select: not one under a protected root, and not the last of its group that
+    isn't selected."""
+    s = selected.select("path", F.lit(True).alias("s")).distinct()
+    left = copies.join(s, "path", "left").groupBy("class_id").agg(F.count_if(F.col("s").isNull()).alias("open"))
+    j = asked.select("path").distinct().join(copies.select("path", "class_id"), "path", "left").join(left, "class_id", "left").join(s, "path", "left")
+    free = F.col("s").isNotNull() | (F.col("open") > 1)
+    return j.select("path", F.coalesce(free & ~under_any(F.col("path"), protected), F.lit(False)).alias("allowed"))
+
+
+def check_sides(rows: DataFrame) -> DataFrame:
+    """``(row_id, side)`` for ``rows(row_id, a, b, at)`` of a similar pair's common contents, in which the sides ``a`` and ``b`` are asked to be
+    selected: one side at most; of both the later request counts, side a of a tie."""
+    both = rows.groupBy("row_id").agg(F.max(F.when(F.col("a"), F.col("at"))).alias("ta"), F.max(F.when(F.col("b"), F.col("at"))).alias("tb"))
+    side = F.when(F.col("ta").isNull() & F.col("tb").isNull(), None).when(F.col("tb").isNull() | (F.col("ta") >= F.col("tb")), "a").otherwise("b")
+    return both.select("row_id", side.alias("side")).where("side IS NOT NULL")
+
+
+def pair_selection_stats(selected: DataFrame, pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """One row (bytes, pairs): of the selected paths, and of the ``pairs(dir_a, dir_b)`` they touch, as one of the folders or as one of the
+    pair's common files ``shared(dir_a, dir_b, path)``."""
+    s = selected.select("path").distinct()
+    by_dir = pairs.select("dir_a", "dir_b", F.explode(F.array("dir_a", "dir_b")).alias("path")).join(s, "path", "left_semi").select("dir_a", "dir_b")
+    touched = by_dir.unionByName(shared.join(s, "path", "left_semi").select("dir_a", "dir_b")).distinct()
+    total = selected.dropDuplicates(["path"]).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return total.crossJoin(F.broadcast(touched.agg(F.count("*").alias("pairs"))))
+
+
+def pairs_of_folders(folders: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(dir, dir_a, dir_b)``: the first similar pair, by shared bytes, percent and names, that names each of ``folders(dir)``."""
+    each = pairs.select(F.explode(F.array("dir_a", "dir_b")).alias("dir"), F.struct(F.col("shared_bytes").alias("s"), F.col("percent").alias("p"), "dir_a", "dir_b").alias("r"))
+    best = each.groupBy("dir").agg(F.max("r").alias("r"))
+    return folders.select("dir").distinct().join(best, "dir").select("dir", "r.dir_a", "r.dir_b")
+
+
+def with_dates(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """``(path, born, changed)``: the times of files, of folders those of the latest file directly in them; null where unknown."""
+    time = lambda c: F.max(F.when(F.col(c) > 0, F.col(c)))
+    own = files.groupBy("path").agg(time("btime_ns").alias("born"), time("mtime_ns").alias("changed"))
+    inner = files.groupBy(F.col("dir").alias("path")).agg(time("btime_ns").alias("born"), time("mtime_ns").alias("changed"))
+    return paths.select("path").distinct().join(own.unionByName(inner), "path", "left").select("path", "born", "changed")
+
+
+def candidate_paths(copies: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``copies`` with each normal path once, the row that comes first by ``order``: ``//``, ``/./`` and a closing ``/`` don't tell paths apart."""
+    normal = F.rtrim(F.regexp_replace(F.regexp_replace("path", r"/(\./)+", "/"), "/{2,}", "/"), F.lit("/"))
+    first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*copies.columns).alias("row")))
+    return copies.groupBy(normal.alias("normal")).agg(first.alias("f")).select("f.row.*")
+
+
+# Titles of problems that composing a name may solve, and what is said of each outcome of a name fix.
+FIXABLE = ("Драйвер не відкриває файл", "Елемент зник")
+OUTCOMES = {
+    "fixed": "Ім'я полагоджено: {}. Повторіть сканування.",
+    "phantom": "Драйвер не адресує запис навіть для перейменування — локально не полагодити; скопіюйте файл через інший комп'ютер.",
+    "exists": "Файл з канонічним іменем уже існує поруч — нічого не змінено.",
+    "already-nfc": "Ім'я вже канонічне — причина не в кодуванні.",
+    "protected": "Шлях у теці-еталоні — перейменування заборонено.",
+}
+OTHER_OUTCOME = "Помилка перейменування"
+
+
+def name_fix_candidates(problems: DataFrame) -> DataFrame:
+    """The ``problems(message)`` of a kind that composing a name may solve."""
+    from stratafold.functions.text import problem_title
+
+    return problems.where(problem_title(F.col("message")).isin(*FIXABLE))
+
+
+def outcome_text(verdict: Column, detail: Column) -> Column:
+    """What is said of a name fix's outcome; an unknown one is an error with its detail, if there is any. Null for a null verdict."""
+    said = F.when(F.coalesce(detail, F.lit("")) != "", F.concat(F.lit(OTHER_OUTCOME + ": "), detail)).otherwise(OTHER_OUTCOME + ".")
+    out = F.when(verdict.isNull(), None)
+    for k, v in OUTCOMES.items():
+        head, *tail = v.split("{}")
+        out = out.when(verdict == k, F.concat(F.lit(head), F.coalesce(detail, F.lit("")), F.lit(tail[0])) if tail else F.lit(v))
+    return out.otherwise(said)
+
+
+def read_only(live: Column, partial: Column) -> Column:
+    """Whether a result may only be looked at: it is from a saved scan or of one that was stopped."""
+    return ~F.coalesce(live, F.lit(False)) | F.coalesce(partial, F.lit(True))
+
+
+def ready_to_act(live: Column, partial: Column) -> Column:
+    """Whether copies may be acted on: the result is of this run and whole."""
+    return ~read_only(live, partial)
