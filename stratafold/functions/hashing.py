@@ -32,9 +32,9 @@ def dihedral(grid: Column, n: int) -> list[Column]:
 
 
 def canonical_hash(grid: Column, n: int = 9) -> Column:
-    """The least dHash, as an unsigned number, of the first n - 1 rows of all 8 forms of an n x n grid."""
+    """The least dHash, as an unsigned number, of the first n - 1 rows of all 8 forms of an n x n grid; null for a null or shorter one."""
     hashes = [dhash(g, n, n - 1).bitwiseXOR(F.lit(SIGN)) for g in dihedral(grid, n)]
-    return F.least(*hashes).bitwiseXOR(F.lit(SIGN))
+    return F.when(F.size(grid) >= n * n, F.least(*hashes).bitwiseXOR(F.lit(SIGN)))
 
 
 def hamming(a: Column, b: Column) -> Column:

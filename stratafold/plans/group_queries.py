@@ -42,16 +42,16 @@ def c_funnel_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "c_cache_hits",
-    """WITH c AS (SELECT path, size, mtime_ns, ctime_ns, dev, ino FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, received_at DESC, size DESC NULLS LAST, mtime_ns DESC NULLS LAST, ctime_ns DESC NULLS LAST, dev DESC NULLS LAST, ino DESC NULLS LAST) AS r FROM file_snapshots WHERE snapshot_no = 4) WHERE r = 1),
-    n AS (SELECT path, size, mtime_ns, ctime_ns, dev, ino FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, received_at DESC, size DESC NULLS LAST, mtime_ns DESC NULLS LAST, ctime_ns DESC NULLS LAST, dev DESC NULLS LAST, ino DESC NULLS LAST) AS r FROM file_snapshots WHERE snapshot_no = 5) WHERE r = 1)
+    """WITH c AS (SELECT path, size, mtime_ns, ctime_ns, dev, ino FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, received_at DESC, size DESC NULLS LAST, mtime_ns DESC NULLS LAST, ctime_ns DESC NULLS LAST, dev DESC NULLS LAST, ino DESC NULLS LAST) AS r FROM file_snapshots WHERE path IS NOT NULL AND snapshot_no = (SELECT max(snapshot_no) FROM file_snapshots) - 1) WHERE r = 1),
+    n AS (SELECT path, size, mtime_ns, ctime_ns, dev, ino FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, received_at DESC, size DESC NULLS LAST, mtime_ns DESC NULLS LAST, ctime_ns DESC NULLS LAST, dev DESC NULLS LAST, ino DESC NULLS LAST) AS r FROM file_snapshots WHERE path IS NOT NULL AND snapshot_no = (SELECT max(snapshot_no) FROM file_snapshots)) WHERE r = 1)
     SELECT n.path, coalesce(c.path IS NOT NULL AND n.size IS NOT DISTINCT FROM c.size AND n.mtime_ns IS NOT DISTINCT FROM c.mtime_ns AND (c.dev = 0 OR
       (n.ctime_ns IS NOT DISTINCT FROM c.ctime_ns AND n.dev IS NOT DISTINCT FROM c.dev AND n.ino IS NOT DISTINCT FROM c.ino)), false) AS hit FROM n LEFT JOIN c ON n.path = c.path""",
 )
 def c_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     from stratafold.plans.state_queries import snapshot
 
-    cache = snapshot(spark, d, 4).withColumn("kind", F.lit("f")).withColumn("digest", F.sha2("path", 256))
-    hits, misses = funnel.cached_digests(snapshot(spark, d, 5), cache)
+    cache = snapshot(spark, d, 1).withColumn("kind", F.lit("f")).withColumn("digest", F.sha2("path", 256))
+    hits, misses = funnel.cached_digests(snapshot(spark, d, 0), cache)
     return hits.select("path", F.lit(True).alias("hit")).unionByName(misses.select("path", F.lit(False).alias("hit")))
 
 

@@ -233,3 +233,32 @@ def b_open_folders(spark: SparkSession, d: str) -> DataFrame:
     rows = I.files(spark, d).select("dir").distinct().select(F.col("dir").alias("path"), F.element_at(F.split("dir", "/"), -1).alias("name"))
     rows = rows.withColumn("is_bundle", I.is_bundle(F.col("name")))
     return rows.where(should_include(Profile(min_size=10**9, hidden=False, excluded_paths=["/mnt"]), directory=True)).select(F.col("path").alias("dir"))
+
+
+def _canonical_sql() -> str:
+    """The least of the hashes of all eight forms of a grid g of 9 x 9, as a signed number."""
+    side, bits = 9, [(r, c) for r in range(8) for c in range(8)]
+    turn = [lambda r, c: (r, c), lambda r, c: (8 - c, r), lambda r, c: (8 - r, 8 - c), lambda r, c: (c, 8 - r)]
+    forms = []
+    for mirrored in (False, True):
+        for t in turn:
+            at = lambda r, c: "g[{}]".format((lambda p: p[0] * side + p[1] + 1)(t(r, 8 - c if mirrored else c)))  # noqa: E731, B023
+            forms.append(" + ".join(f"CASE WHEN {at(r, c)} > {at(r, c + 1)} THEN {1 << (63 - k)}::HUGEINT ELSE 0 END" for k, (r, c) in enumerate(bits)))
+    return f"least({', '.join(forms)})"
+
+
+@query(
+    "g_image_hashes",
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding || embedding[1:17], lambda x: CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 4) * 32))) AS INT)) AS g FROM embeddings),
+    h AS (SELECT vec_id, {_canonical_sql()} AS h FROM v) SELECT vec_id, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS hash FROM h""",
+)
+def g_image_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings written as small grey images, decoded and hashed."""
+    from stratafold.sources.images import with_image_hash
+    from stratafold.sources.tables import table
+
+    e = F.concat("embedding", F.slice("embedding", 1, 17))
+    grey = F.transform(e, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 4) * 32))).cast("int").cast("string"))
+    text = F.concat(F.lit("P2 9 9 255 "), F.array_join(grey, " "))
+    images = table(spark, d, "embeddings").select("vec_id", F.encode(text, "UTF-8").alias("content"))
+    return with_image_hash(images).select("vec_id", "hash")

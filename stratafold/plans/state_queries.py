@@ -33,15 +33,17 @@ def query(name: str, sql: str | None = None):
 _ID = ["size", "mtime_ns", "ctime_ns", "dev", "ino"]
 
 
-def snapshot(spark: SparkSession, d: str, n: int) -> DataFrame:
-    """The newest readings of snapshot ``n``."""
-    rows = table(spark, d, "file_snapshots").where((F.col("snapshot_no") == n) & F.col("path").isNotNull())
+def snapshot(spark: SparkSession, d: str, back: int) -> DataFrame:
+    """The newest readings of the last snapshot (``back`` 0) or of one before it."""
+    rows = table(spark, d, "file_snapshots").where("path IS NOT NULL")
+    last = rows.agg(F.max("snapshot_no")).head()[0]
+    rows = rows.where(F.col("snapshot_no") == (last or 0) - back)
     return latest_rows(rows, ["path"], ["seen_at", "received_at"], _ID)
 
 
-def _snap(n: int) -> str:
+def _snap(back: int) -> str:
     last = ", ".join(f"{c} DESC NULLS LAST" for c in _ID)
-    return f"(SELECT path, {', '.join(_ID)} FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, received_at DESC, {last}) AS r FROM file_snapshots WHERE snapshot_no = {n} AND path IS NOT NULL) WHERE r = 1)"
+    return f"(SELECT path, {', '.join(_ID)} FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, received_at DESC, {last}) AS r FROM file_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM file_snapshots) - {back} AND path IS NOT NULL) WHERE r = 1)"
 
 
 _IMAGE = f"{sql_category('path')} = 'image'"
@@ -198,12 +200,12 @@ def i_stale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "i_touch",
-    f"""WITH {INV}, u AS (SELECT DISTINCT path FROM file_snapshots WHERE snapshot_no = 5)
+    f"""WITH {INV}, u AS (SELECT DISTINCT path FROM file_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM file_snapshots))
     SELECT path, CASE WHEN path IN (SELECT path FROM u WHERE path IS NOT NULL) AND btime_ns < {_NOW - retention.TOUCH_NS} THEN {_NOW} ELSE btime_ns END AS accessed_ns FROM inv""",
 )
 def i_touch(spark: SparkSession, d: str) -> DataFrame:
     rows = I.files(spark, d).select("path", F.lit("f").alias("kind"), F.col("btime_ns").alias("accessed_ns"))
-    used = snapshot(spark, d, 5).select("path", F.lit("f").alias("kind"))
+    used = snapshot(spark, d, 0).select("path", F.lit("f").alias("kind"))
     return retention.touched(rows, used, _NOW).select("path", "accessed_ns")
 
 
@@ -212,10 +214,10 @@ def i_touch(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT count(*) FILTER (o.path IS NULL) AS added, count(*) FILTER (n.path IS NULL) AS removed,
     count(*) FILTER (o.path IS NOT NULL AND n.path IS NOT NULL AND ((o.size, o.mtime_ns, o.ctime_ns, o.dev, o.ino) IS DISTINCT FROM (n.size, n.mtime_ns, n.ctime_ns, n.dev, n.ino))) AS changed,
     count(*) FILTER (o.path IS NOT NULL AND n.path IS NOT NULL AND ((o.size, o.mtime_ns, o.ctime_ns, o.dev, o.ino) IS NOT DISTINCT FROM (n.size, n.mtime_ns, n.ctime_ns, n.dev, n.ino))) AS unchanged
-    FROM {_snap(4)} o FULL JOIN {_snap(5)} n ON o.path = n.path""",
+    FROM {_snap(1)} o FULL JOIN {_snap(0)} n ON o.path = n.path""",
 )
 def d_refresh_stats(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.refresh_stats(snapshot(spark, d, 4), snapshot(spark, d, 5))
+    return snapshots.refresh_stats(snapshot(spark, d, 1), snapshot(spark, d, 0))
 
 
 @query(
@@ -375,35 +377,35 @@ def k_adaptive_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "n_authorised",
-    f"""WITH o AS (SELECT * FROM {_snap(4)}), n AS (SELECT * FROM {_snap(5)})
+    f"""WITH o AS (SELECT * FROM {_snap(1)}), n AS (SELECT * FROM {_snap(0)})
     SELECT o.path, CASE WHEN starts_with(o.path, '/srv/mirror/') THEN 'protected' WHEN n.path IS NULL THEN 'missing' WHEN (o.dev, o.ino, o.size, o.mtime_ns, o.ctime_ns) IS DISTINCT FROM (n.dev, n.ino, n.size, n.mtime_ns, n.ctime_ns) THEN 'changed' ELSE 'authorised' END AS verdict
     FROM o LEFT JOIN n ON o.path = n.path""",
 )
 def n_authorised(spark: SparkSession, d: str) -> DataFrame:
     roots = spark.createDataFrame([("/srv/mirror",)], "root string")
-    return removal.authorised(snapshot(spark, d, 4), snapshot(spark, d, 5), roots)
+    return removal.authorised(snapshot(spark, d, 1), snapshot(spark, d, 0), roots)
 
 
 @query(
     "n_proof_state",
-    f"""WITH {INV}, n AS (SELECT * FROM {_snap(5)})
+    f"""WITH {INV}, n AS (SELECT * FROM {_snap(0)})
     SELECT i.path, CASE WHEN n.path IS NULL THEN 'fail' WHEN i.class_id IS NOT NULL AND NOT starts_with(i.class_id, 'u:') AND starts_with(i.path, '/Volumes/Sklad/') AND
       CASE WHEN i.dev = 0 THEN (i.size, i.mtime_ns) IS NOT DISTINCT FROM (n.size, n.mtime_ns) ELSE (i.size, i.mtime_ns, i.ctime_ns, i.dev, i.ino) IS NOT DISTINCT FROM (n.size, n.mtime_ns, n.ctime_ns, n.dev, n.ino) END THEN 'trusted' ELSE 'reread' END AS state
     FROM inv i LEFT JOIN n ON n.path = i.path""",
 )
 def n_proof_state(spark: SparkSession, d: str) -> DataFrame:
     trusted = spark.createDataFrame([("/Volumes/Sklad",)], "volume string")
-    return removal.proof_state(I.files(spark, d), snapshot(spark, d, 5), trusted)
+    return removal.proof_state(I.files(spark, d), snapshot(spark, d, 0), trusted)
 
 
 @query(
     "p_selection_refresh",
-    f"WITH a AS (SELECT path FROM {_snap(4)} WHERE {_IMAGE}), b AS (SELECT path FROM {_snap(5)}) SELECT path FROM a WHERE path IN (SELECT path FROM b)",
+    f"WITH a AS (SELECT path FROM {_snap(1)} WHERE {_IMAGE}), b AS (SELECT path FROM {_snap(0)}) SELECT path FROM a WHERE path IN (SELECT path FROM b)",
 )
 def p_selection_refresh(spark: SparkSession, d: str) -> DataFrame:
     """Selected files that are still there after a refresh."""
-    chosen = snapshot(spark, d, 4).where(category(F.col("path")) == "image").select("path")
-    return chosen.join(snapshot(spark, d, 5).select("path"), "path", "left_semi")
+    chosen = snapshot(spark, d, 1).where(category(F.col("path")) == "image").select("path")
+    return chosen.join(snapshot(spark, d, 0).select("path"), "path", "left_semi")
 
 
 @query(

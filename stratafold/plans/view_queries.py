@@ -201,10 +201,11 @@ def m_sanitize(spark: SparkSession, d: str) -> DataFrame:
     "e_state_digests",
     f"""WITH {INV}, a AS (SELECT above AS dir, string_agg(substr(path, length(above) + 2) || '|' || coalesce(CAST(dev AS VARCHAR), '') || '|' || coalesce(CAST(ino AS VARCHAR), '') || '|' || coalesce(CAST(size AS VARCHAR), '') || '|' || coalesce(CAST(mtime_ns AS VARCHAR), '') || '|' || coalesce(CAST(ctime_ns AS VARCHAR), ''), chr(10) ORDER BY path) AS t
       FROM (SELECT i.*, array_to_string(parts[1:k], '/') AS above FROM (SELECT *, string_split(path, '/') AS parts FROM inv) i, unnest(range(2, len(parts))) AS t(k)) GROUP BY 1)
-    SELECT count(*) AS folders, count(DISTINCT t) AS states FROM a""",
+    SELECT dir, min(dir) OVER (PARTITION BY t) AS first FROM a""",
 )
 def e_state_digests(spark: SparkSession, d: str) -> DataFrame:
-    """How many folders there are and how many different states they have."""
+    """Each folder with the first of the same state."""
     rows = cut(I.files(spark, d))
-    folders = I.folders(rows).withColumn("ok", F.lit(True))
-    return tree.state_digests(folders, rows).agg(F.count("*").alias("folders"), F.countDistinct("digest").alias("states"))
+    folders = I.folders(rows).where("dir <> '' AND dir <> '/'").withColumn("ok", F.lit(True))
+    states = cut(tree.state_digests(folders, rows))
+    return states.join(states.groupBy("digest").agg(F.min("dir").alias("first")), "digest").select("dir", "first")

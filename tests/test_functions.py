@@ -99,5 +99,6 @@ def test_perceptual_hashes(spark):
     mirrored = [x[::-1] for x in rows]
     flat = [sum(g, []) for g in (rows, turned, mirrored, [x[::-1] for x in turned])]
     assert len(set(column(spark, flat, "array<int>", H.canonical_hash))) == 1
+    assert column(spark, [None, [1, 2]], "array<int>", H.canonical_hash) == [None, None]
     df = spark.createDataFrame([(0, -1), (5, 6)], "a bigint, b bigint")
     assert [x[0] for x in df.select(H.hamming(F.col("a"), F.col("b"))).collect()] == [64, 2]
