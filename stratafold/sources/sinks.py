@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import html
 from collections.abc import Iterable
+from typing import IO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.functions.text import csv_safe
 from stratafold.operators.reports import COLUMNS
-from stratafold.sources.stores import write_atomically
+from stratafold.sources.stores import atomic_file
 
 
 def write_csv(rows: DataFrame, folder: str, columns: Iterable[str] = COLUMNS) -> None:
@@ -28,14 +29,17 @@ def write_merge_plan(plan: DataFrame, folder: str) -> None:
 
 
 def write_html(summary: DataFrame, rows: DataFrame, path: str, title: str = "Report") -> None:
-    """One page without scripts: the summary, a row per record type, and a table of all rows, which are streamed to the
-    driver a partition at a time."""
-    cell = lambda v: f"<td>{html.escape('' if v is None else str(v))}</td>"
-
-    def table(df: DataFrame) -> str:
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join(f"<tr>{''.join(cell(v) for v in row)}</tr>\n" for row in df.toLocalIterator())
-        return f"<table><tr>{head}</tr>\n{body}</table>\n"
-
-    page = f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>\n{table(summary)}{table(rows)}'
-    write_atomically(path, page)
+    """One page without scripts: the summary, a row per record type, and a table of all rows. Rows come to the driver a partition at a
+    time and go on to the file one by one, so the page is never held in memory."""
+
+    def table(f: IO[str], df: DataFrame) -> None:
+        cell = lambda v: f"<td>{html.escape('' if v is None else str(v))}</td>"
+        f.write(f"<table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>\n")
+        for row in df.toLocalIterator():
+            f.write(f"<tr>{''.join(cell(v) for v in row)}</tr>\n")
+        f.write("</table>\n")
+
+    with atomic_file(path) as f:
+        f.write(f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>\n')
+        table(f, summary)
+        table(f, rows)

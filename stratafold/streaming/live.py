@@ -33,7 +33,7 @@ def incremental_rescan(stream: DataFrame, cache_folder: str, digest: Callable[[D
         fresh = digest(misses).persist()
         hits.withColumn("hit", F.lit(True)).unionByName(fresh.withColumn("hit", F.lit(False))).write.mode("overwrite").parquet(f"{out}/batch={number}")
         added = fresh.select("path", F.lit(kind).alias("kind"), "size", "mtime_ns", "ctime_ns", "dev", "ino", F.lit(0).cast("bigint").alias("accessed_ns"), "digest")
-        upsert_cache(cache, added, cache_folder)
+        upsert_cache(added, cache_folder)
         fresh.unpersist()
         rows.unpersist()
 

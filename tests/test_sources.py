@@ -56,8 +56,8 @@ def cache_rows(spark, rows):
 
 def test_cache_upsert_and_lookup(spark, tmp_path):
     folder = str(tmp_path / "cache")
-    stores.upsert_cache(None, cache_rows(spark, [("/a", "f", 1, 2, 3, 4, 5, 9, "old"), ("/b", "f", 1, 2, 3, 0, 0, 9, "b"), ("/a", "p", 1, 2, 3, 4, 5, 9, "probe")]), folder)
-    stores.upsert_cache(stores.read_cache(spark, folder), cache_rows(spark, [("/a", "f", 1, 2, 3, 4, 5, 1, "new")]), folder)
+    stores.upsert_cache(cache_rows(spark, [("/a", "f", 1, 2, 3, 4, 5, 9, "old"), ("/b", "f", 1, 2, 3, 0, 0, 9, "b"), ("/a", "p", 1, 2, 3, 4, 5, 9, "probe")]), folder)
+    stores.upsert_cache(cache_rows(spark, [("/a", "f", 1, 2, 3, 4, 5, 1, "new")]), folder)
     store = stores.read_cache(spark, folder)
     assert {(r["path"], r["kind"]): r["digest"] for r in store.collect()} == {("/a", "f"): "new", ("/b", "f"): "b", ("/a", "p"): "probe"}
     cur = spark.createDataFrame([("/a", 1, 2, 3, 4, 5), ("/b", 1, 2, 99, 7, 7), ("/c", 1, 2, 3, 4, 5)], "path string, size bigint, mtime_ns bigint, ctime_ns bigint, dev bigint, ino bigint")
@@ -76,10 +76,30 @@ def test_saved_scans(spark, tmp_path):
     os.makedirs(f"{folder}/scan-unfinished")
     Path(f"{folder}/scan-broken").mkdir()
     Path(f"{folder}/scan-broken/header.json").write_text("{")
-    assert [h["path"] for h in stores.list_scans(folder)] == [second, first]
+    assert [h["path"] for h in stores.list_scans(spark, folder)] == [second, first]
     assert stores.load_scan(spark, first)["files"].collect() == good.collect()
     with pytest.raises(ValueError, match="class has the file's size"):
         stores.load_scan(spark, second)
+    other = str(tmp_path / "other")
+    copy = stores.import_scan(spark, first, other)
+    assert stores.list_scans(spark, other)[0]["roots"] == ["/r"] and stores.load_scan(spark, stores.export_scan(spark, copy, folder))["files"].collect() == good.collect()
+    with pytest.raises(ValueError):
+        stores.import_scan(spark, second, other)
+    with pytest.raises(ValueError):
+        stores.delete_scan(spark, folder, copy)
+    assert stores.delete_scan(spark, other, copy) and stores.list_scans(spark, other) == [] == stores.list_scans(spark, str(tmp_path / "none"))
+
+
+def test_parts_of_the_digest_store_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "PARTS", 2)
+    folder = str(tmp_path / "cache")
+    for k in range(5):
+        stores.upsert_cache(cache_rows(spark, [("/a", "f", 1, 2, 3, 4, 5, 9 - k, f"a{k}"), (f"/b{k}", "f", 1, 2, 3, 4, 5, 9, "b")]), folder)
+    got = {r["path"]: r["digest"] for r in stores.read_cache(spark, folder).collect()}
+    assert got == {"/a": "a4"} | {f"/b{k}": "b" for k in range(5)}
+    assert len(stores._parts(spark, folder)) <= 2
+    with pytest.raises(FileNotFoundError):
+        stores.read_cache(spark, str(tmp_path / "none"))
 
 
 def test_settings(tmp_path):
@@ -225,7 +245,7 @@ def test_incremental_rescan_digests_only_changes(spark, tmp_path):
     folder, cache, out = (str(tmp_path / n) for n in ("inv", "cache", "out"))
     schema = "path string, size bigint, mtime_ns bigint, ctime_ns bigint, dev bigint, ino bigint"
     inventory = [(f"/f{k}", 1, 1, 1, 1, k + 1) for k in range(10)]
-    stores.upsert_cache(None, cache_rows(spark, [(p, "f", s, m, c, d, i, 0, "known") for p, s, m, c, d, i in inventory[:6]]), cache)
+    stores.upsert_cache(cache_rows(spark, [(p, "f", s, m, c, d, i, 0, "known") for p, s, m, c, d, i in inventory[:6]]), cache)
     spark.createDataFrame([*inventory[:5], ("/f5", 1, 2, 1, 1, 6), *inventory[6:]], schema).coalesce(1).write.parquet(folder)
     q = live.incremental_rescan(live.stream_inventory(spark, folder, schema), cache, lambda m: m.withColumn("digest", F.sha2("path", 256)), out, str(tmp_path / "cp"))
     q.awaitTermination(120)
