@@ -135,13 +135,24 @@ def minute_of(ns: Column) -> Column:
     return F.date_format(F.timestamp_micros(F.floor(ns / 1000)), "yyyy-MM-dd HH:mm")
 
 
+def one_decimal(x: Column) -> Column:
+    """A number from 0 on with one decimal, rounded as the binary value lies: the distance from the nearest tie is computed exactly, by
+    splitting the number in two halves whose products with small integers are exact."""
+    tenths = F.floor(x * 10)
+    scaled = x * 134217729.0
+    high = scaled - (scaled - x)
+    over = (high * 20 - (tenths * 2 + 1)) + (x - high) * 20
+    n = tenths + F.when((over > 0) | ((over == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(n / 10).cast("bigint").cast("string"), F.lit("."), (n % 10).cast("bigint").cast("string"))
+
+
 def remaining_text(seconds: Column) -> Column:
     """Rough remaining time in seconds, minutes or hours."""
     s = F.greatest(F.lit(0.0), seconds)
     return (
         F.when(s < 60, F.format_string("~%d с", F.greatest(F.lit(1), F.bround(s).cast("int"))))
         .when(s < 3600, F.format_string("~%d хв", F.greatest(F.lit(1), F.bround(s / 60).cast("int"))))
-        .otherwise(F.format_string("~%.1f год", s / 3600))
+        .otherwise(F.concat(F.lit("~"), one_decimal(s / 3600), F.lit(" год")))
     )
 
 

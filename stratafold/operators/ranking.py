@@ -147,10 +147,19 @@ def relocation_vote(samples: DataFrame, current: DataFrame) -> DataFrame:
 
 def busy_time(intervals: DataFrame, group: str) -> DataFrame:
     """``(group, busy, bytes)``: length of the union of ``intervals(group, start, end, bytes)``; ends before their starts and
-    nulls count as empty."""
-    valid = intervals.where("end >= start")
-    w = W.partitionBy(group).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
-    covered = F.greatest(F.col("start"), F.coalesce(F.max("end").over(w), F.col("start")))
-    added = valid.withColumn("add", F.greatest(F.lit(0), F.col("end") - covered))
-    busy = added.groupBy(group).agg(F.sum("add").alias("busy"))
-    return busy.join(intervals.groupBy(group).agg(F.sum("bytes").alias("bytes")), group)
+    nulls count as empty.
+
+    The intervals are range-partitioned by group and start. How far earlier ranges reach, one row a range and group, is known to each
+    range; within it a running maximum tells what an interval adds. So a group with most intervals is spread over many tasks."""
+    valid = intervals.where("end >= start").select(F.col(group).alias("__g"), "start", "end")
+    placed = valid.repartitionByRange("__g", "start", "end").sortWithinPartitions("__g", "start", "end")
+    placed = cut(placed.withColumn("id", F.monotonically_increasing_id())).withColumn("part", F.shiftrightunsigned("id", 33))
+    reach = placed.groupBy("__g", "part").agg(F.max("end").alias("reach"))
+    earlier = F.max("reach").over(W.partitionBy("__g").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    before = reach.select(F.col("__g").alias("rg"), F.col("part").alias("rp"), earlier.alias("reached"))
+    inner = F.max("end").over(W.partitionBy("__g", "part").orderBy("id").rowsBetween(W.unboundedPreceding, -1))
+    j = placed.withColumn("inner", inner).join(before, F.col("__g").eqNullSafe(F.col("rg")) & (F.col("part") == F.col("rp")))
+    covered = F.greatest("start", "inner", "reached")
+    busy = j.groupBy("__g").agg(F.sum(F.greatest(F.lit(0), F.col("end") - covered)).alias("busy"))
+    sums = intervals.groupBy(group).agg(F.sum("bytes").alias("bytes"))
+    return sums.join(busy, F.col(group).eqNullSafe(F.col("__g"))).select(group, "busy", "bytes")

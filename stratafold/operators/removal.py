@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratafold.functions.paths import ancestors, is_under
+from stratafold.functions.paths import ancestors, extension, is_under
 
 IDENTITY = ["dev", "ino", "size", "mtime_ns", "ctime_ns"]
+# Fixed value: the greatest number that a transfer puts after a name.
+SUFFIXES = 10_000
 
 
 def survivors(victims: DataFrame, files: DataFrame) -> DataFrame:
@@ -52,31 +55,59 @@ def proof_state(snapshot: DataFrame, current: DataFrame, trusted: DataFrame) ->
     return j.select("path", state.alias("state"))
 
 
-def final_names(plan: DataFrame, existing: DataFrame) -> DataFrame:
-    """``(source, target, final, action)`` for a merge plan (source, target, class_id) against ``existing(path, class_id)``:
-    ``skip`` where the target's name already holds the same proven class; else ``transfer`` under the target name or, where that is
-    taken, ``name (2).ext``, ``(3)`` and so on in source order, past the suffixes in use."""
-    from pyspark.sql import Window as W
+def _numbers_in_use(existing: DataFrame, pattern: str, first: int, most: int | None) -> DataFrame:
+    """``(target, gaps)``: for each name that ``existing(path)`` holds with a number after it, how many numbers from ``first`` on are free
+    below each one in use, in order. Numbers beyond ``most`` don't matter; they bound the array."""
+    named = existing.select("path", F.length(extension(F.col("path"))).alias("e"))
+    named = named.select(F.expr("substr(path, 1, length(path) - e)").alias("stem"), F.expr("substr(path, length(path) - e + 1)").alias("x"))
+    number = F.try_to_number(F.regexp_extract("stem", pattern, 2), F.lit("9" * 9)).cast("bigint")
+    used = named.where(F.col("stem").rlike(pattern)).select(F.concat(F.regexp_extract("stem", pattern, 1), "x").alias("target"), number.alias("n")).distinct()
+    used = used.where(F.col("n").between(first, most or 1 << 62))
+    below = F.col("n") - first - F.row_number().over(W.partitionBy("target").orderBy("n")) + 1
+    return used.withColumn("gap", below).groupBy("target").agg(F.sort_array(F.collect_list("gap")).alias("gaps"))
+
+
+def _free_number(gaps: Column, m: Column, first: int) -> Column:
+    """The ``m``-th number from ``first`` on that isn't in use."""
+    return m + first - 1 + F.coalesce(F.size(F.filter(gaps, lambda g: g < m)), F.lit(0))
 
-    from stratafold.functions.paths import extension
 
+def _numbered(path: str, text: Column) -> Column:
+    """The name in column ``path`` with ``text`` before its extension."""
+    e = F.length(extension(F.col(path)))
+    return F.concat(F.substring(path, F.lit(1), F.length(path) - e), text, F.substring(path, F.length(path) - e + 1, e))
+
+
+def final_names(plan: DataFrame, existing: DataFrame, most: int | None = SUFFIXES) -> DataFrame:
+    """``(source, target, final, action)`` for a merge plan (source, target, class_id) against ``existing(path, class_id)``:
+    ``skip`` where the target's name already holds the same proven class; else ``transfer`` under the target name or, where that is
+    taken, ``name (2).ext``, ``(3)`` and so on in source order, the first number that is free. A number beyond ``most`` (None
+    for no bound) is an ``error`` without a name. A name that one row gets by its number isn't looked up for another row's target."""
     there = existing.select(F.col("path").alias("target"), F.col("class_id").alias("held"), F.lit(True).alias("taken"))
     j = plan.join(there, "target", "left")
     skip = F.col("taken") & F.col("class_id").isNotNull() & (F.col("class_id") == F.col("held"))
     j = j.withColumn("skip", F.coalesce(skip, F.lit(False)))
-    # greatest suffix in use for a name in a folder
-    ext_len = F.length(extension(F.col("path")))
-    named = existing.select("path", ext_len.alias("e")).withColumn("s", F.expr("substr(path, 1, length(path) - e)")).withColumn("x", F.expr("substr(path, length(path) - e + 1)"))
-    used = named.select(F.concat(F.regexp_extract("s", r"(?s)^(.*) \((\d{1,9})\)$", 1), F.col("x")).alias("target"), F.regexp_extract("s", r"(?s)^(.*) \((\d{1,9})\)$", 2).alias("n"))
-    used = used.where("n <> ''").groupBy("target").agg(F.max(F.col("n").cast("bigint")).alias("most"))
-    w = W.partitionBy("target", "skip").orderBy("source")
-    k = F.row_number().over(w) + F.when(F.col("taken"), 1).otherwise(0)
-    j = j.join(used, "target", "left").withColumn("k", k).withColumn("e", F.length(extension(F.col("target"))))
-    number = F.when(F.col("k") <= 1, None).otherwise(F.greatest(F.col("k").cast("bigint"), F.coalesce("most", F.lit(0)) + F.col("k") - 1))
-    base = F.expr("substr(target, 1, length(target) - e)")
-    tail = F.expr("substr(target, length(target) - e + 1)")
-    final = F.when(number.isNull(), F.col("target")).otherwise(F.concat(base, F.lit(" ("), number.cast("string"), F.lit(")"), tail))
-    return j.select("source", "target", F.when(~F.col("skip"), final).alias("final"), F.when(F.col("skip"), "skip").otherwise("transfer").alias("action"))
+    # how many names of the row's target are given before it: of a free target the first row gets the name itself
+    given = F.row_number().over(W.partitionBy("target", "skip").orderBy("source")) - F.when(F.col("taken"), 0).otherwise(1)
+    j = j.withColumn("m", given).join(_numbers_in_use(existing, r"(?s)^(.*) \((\d{1,9})\)$", 2, most), "target", "left")
+    number = F.when(F.col("m") > 0, _free_number(F.col("gaps"), F.col("m"), 2))
+    beyond = F.coalesce(number > (most or 1 << 62), F.lit(False))
+    final = F.when(number.isNull(), F.col("target")).otherwise(_numbered("target", F.concat(F.lit(" ("), number.cast("string"), F.lit(")"))))
+    action = F.when(F.col("skip"), "skip").when(beyond, "error").otherwise("transfer")
+    return j.select("source", "target", F.when(~F.col("skip") & ~beyond, final).alias("final"), action.alias("action"))
+
+
+def restore_names(items: DataFrame, existing: DataFrame, most: int | None = SUFFIXES) -> DataFrame:
+    """``(original_path, trashed_path, final)`` for journal items to restore: the original path, or where ``existing(path)`` or an earlier item
+    holds it ``name (restored 1).ext``, ``(restored 2)`` and so on, the first number that is free; items of one path in the order of
+    ``trashed_path``. Null beyond ``most``."""
+    taken = existing.select(F.col("path").alias("original_path"), F.lit(True).alias("taken")).distinct()
+    used = _numbers_in_use(existing, r"(?s)^(.*) \(restored (\d{1,9})\)$", 1, most).withColumnRenamed("target", "original_path")
+    j = items.join(taken, "original_path", "left").join(used, "original_path", "left")
+    m = F.row_number().over(W.partitionBy("original_path").orderBy("trashed_path")) - F.when(F.col("taken"), 0).otherwise(1)
+    j = j.withColumn("m", m).withColumn("number", _free_number(F.col("gaps"), F.col("m"), 1))
+    final = F.when(F.col("m") == 0, F.col("original_path")).when(F.col("number") <= (most or 1 << 62), _numbered("original_path", F.concat(F.lit(" (restored "), F.col("number").cast("string"), F.lit(")"))))
+    return j.select("original_path", "trashed_path", final.alias("final"))
 
 
 def unproven(folder_files: DataFrame, outside: DataFrame) -> DataFrame:

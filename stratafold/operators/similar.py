@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions.paths import ancestors, is_under, relative
+from stratafold.operators.ranking import running
 from stratafold.operators.tree import dirs_under, files_under
 from stratafold.session import cut
 
@@ -16,17 +17,21 @@ PAIRS = 400
 EVIDENCE = 60
 
 
-def sampled_folders(dup: DataFrame) -> DataFrame:
-    """(class_id, dir): the distinct folders of every class in two folders or more; of more than ``FANOUT``, as many
-    at even steps of their order. This limit is part of the result's definition."""
+def sampled_folders(dup: DataFrame, fanout: int | None = FANOUT) -> DataFrame:
+    """(class_id, dir): the distinct folders of every class in two folders or more; of more than ``fanout``, as many
+    at even steps of their order, which is the bound of the result's definition; None for all of them. Places come from one running number
+    over all classes, so a class in very many folders is ranked by many tasks."""
     each = dup.select("class_id", "dir").distinct()
     counts = each.groupBy("class_id").agg(F.count("*").alias("n")).where("n >= 2")
     placed = each.join(counts, "class_id")
-    small = placed.where(F.col("n") <= FANOUT).select("class_id", "dir")
-    rank = F.row_number().over(W.partitionBy("class_id").orderBy("dir")) - 1
-    large = placed.where(F.col("n") > FANOUT).withColumn("k", rank)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(FANOUT - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (FANOUT - 1)))
-    return small.unionByName(large.where(F.array_contains(steps, F.col("k").cast("bigint"))).select("class_id", "dir"))
+    if fanout is None:
+        return placed.select("class_id", "dir")
+    small = placed.where(F.col("n") <= fanout).select("class_id", "dir")
+    ranked = cut(running(placed.where(F.col("n") > fanout), [F.col("class_id"), F.col("dir")]))
+    first = ranked.groupBy("class_id").agg(F.min("k").alias("first"))
+    large = ranked.join(first, "class_id").withColumn("k", F.col("k") - F.col("first"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(fanout - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (fanout - 1)))
+    return small.unionByName(large.where(F.array_contains(steps, F.col("k"))).select("class_id", "dir"))
 
 
 def candidate_pairs(dup: DataFrame, digests: DataFrame, ignored: DataFrame | None = None, sampled: bool = True) -> DataFrame:
@@ -34,7 +39,7 @@ def candidate_pairs(dup: DataFrame, digests: DataFrame, ignored: DataFrame | Non
     pairs one of which holds the other, ignored pairs and folders with equal trees. With ``sampled`` only
     :func:`sampled_folders` count, so pairs that share nothing but classes in more than ``FANOUT`` folders can be missed;
     without, all pairs come out, whose number grows with the square of the folders of a class."""
-    s = sampled_folders(dup) if sampled else dup.select("class_id", "dir").distinct()
+    s = sampled_folders(dup, FANOUT if sampled else None)
     a, b = s.withColumnRenamed("dir", "a"), s.withColumnRenamed("dir", "b")
     base = a.join(b, "class_id").where("a < b").select("a", "b").distinct()
     up = lambda c: F.reverse(ancestors(F.col(c), include_self=True))

@@ -408,10 +408,10 @@ def n_prepared_merge(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = _MERGE.format(inv=INV, anc=ANC) + r""", ex AS (SELECT DISTINCT path, class_id FROM inv), pn AS (SELECT DISTINCT source, target, class_id FROM pl),
 us AS (SELECT regexp_extract(s, '^((?s).*) \((\d{1,9})\)$', 1) || x AS target, CAST(regexp_extract(s, '^((?s).*) \((\d{1,9})\)$', 2) AS BIGINT) AS n FROM
   (SELECT substr(path, 1, length(path) - e) AS s, substr(path, length(path) - e + 1) AS x FROM (SELECT path, length(regexp_extract(regexp_extract(path, '[^/]*$'), '^\.*[^.].*(\.[^.]*)$', 1)) AS e FROM ex)) WHERE regexp_matches(s, '^(?s).* \(\d{1,9}\)$')),
-um AS (SELECT target, max(n) AS most FROM us GROUP BY 1),
+um AS (SELECT target, n - 2 - row_number() OVER (PARTITION BY target ORDER BY n) + 1 AS gap FROM (SELECT DISTINCT target, n FROM us WHERE n BETWEEN 2 AND 10000)),
 jn AS (SELECT pn.*, ex.path IS NOT NULL AS taken, coalesce(pn.class_id = ex.class_id, false) AS skip FROM pn LEFT JOIN ex ON ex.path = target),
-kn AS (SELECT *, row_number() OVER (PARTITION BY target, skip ORDER BY source) + CASE WHEN taken THEN 1 ELSE 0 END AS k, length(regexp_extract(regexp_extract(target, '[^/]*$'), '^\.*[^.].*(\.[^.]*)$', 1)) AS e FROM jn),
-fn AS (SELECT source, target, CASE WHEN skip THEN 'skip' ELSE 'transfer' END AS action, CASE WHEN NOT skip THEN CASE WHEN k <= 1 THEN target ELSE substr(target, 1, length(target) - e) || ' (' || greatest(k, coalesce(most, 0) + k - 1) || ')' || substr(target, length(target) - e + 1) END END AS final, class_id FROM kn LEFT JOIN um USING (target))"""
+kn AS (SELECT *, row_number() OVER (PARTITION BY target, skip ORDER BY source) - CASE WHEN taken THEN 0 ELSE 1 END AS m, length(regexp_extract(regexp_extract(target, '[^/]*$'), '^\.*[^.].*(\.[^.]*)$', 1)) AS e FROM jn),
+fn AS (SELECT source, target, CASE WHEN skip THEN 'skip' ELSE 'transfer' END AS action, CASE WHEN NOT skip THEN CASE WHEN m < 1 THEN target ELSE substr(target, 1, length(target) - e) || ' (' || (m + 1 + (SELECT count(*) FROM um WHERE um.target = kn.target AND gap < m)) || ')' || substr(target, length(target) - e + 1) END END AS final, class_id FROM kn)"""
 
 
 @query(
@@ -427,4 +427,144 @@ def n_transfer_status(spark: SparkSession, d: str) -> DataFrame:
     return removal.transfer_status(named, known, known)
 
 
+# Comparisons as operations of a removal journal, their rows as items; some break the journal's rules.
+_OPS = """it AS (SELECT DISTINCT row_id, compare_id, coalesce(path_a, path_b) AS p, CASE WHEN path_a IS NULL THEN size_b ELSE size_a END AS size, status AS s FROM folder_compare),
+op AS (SELECT md5(CAST(compare_id AS VARCHAR)) AS id, compare_id, min(row_id) AS created, max(row_id) AS updated, count(*) AS n, bool_or(s IS NULL) AS odd FROM it GROUP BY 2)"""
+
+
+def _operations(spark: SparkSession, d: str) -> DataFrame:
+    from stratafold.operators.journal import ITEM
+
+    s = F.col("status")
+    status = F.when(s == "identical", "trashed").when(s == "different_content", "failed").when(s == "only_a", "missing").when(s == "only_b", "restored").when(s == "shared_elsewhere", "skipped").otherwise("odd")
+    path = F.coalesce("path_a", "path_b")
+    values = {
+        "original_path": path, "size": F.when(F.col("path_a").isNull(), F.col("size_b")).otherwise(F.col("size_a")), "kind": F.lit("file"), "status": status, "trashed_path": F.when(s == "identical", path),
+        "digest": F.when(F.col("row_id") % 2 == 0, F.sha2(path, 256)),
+    }
+    kinds = dict(x.split(":", 1) for x in ITEM[7:-1].split(","))
+    item = F.struct(*[values.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
+    rows = table(spark, d, "folder_compare").select("row_id", "compare_id", "status", "path_a", "path_b", "size_a", "size_b").distinct()
+    g = rows.groupBy("compare_id").agg(F.min("row_id").alias("created_ns"), F.max("row_id").alias("updated_ns"), F.bool_or(s.isNull()).alias("odd"), F.collect_list(item).alias("items"))
+    return g.select(
+        F.md5(F.col("compare_id").cast("string")).alias("id"), "created_ns", "updated_ns", F.when(F.col("odd"), "odd").otherwise("completed").alias("status"), F.array().cast("array<string>").alias("errors"), "items"
+    )
+
+
+@query(
+    "j_journal_rules",
+    f"""WITH {_OPS}, r AS (SELECT op.id, op.odd, op.created, op.updated, count(DISTINCT p) < count(*) AS twice, bool_or(p IS NULL OR NOT starts_with(p, '/')) AS rel, bool_or(s IS NULL) AS unknown, bool_or(size IS NULL OR size < 0) AS neg, bool_or(s = 'only_b') AS back FROM it JOIN op USING (compare_id) GROUP BY 1, 2, 3, 4)
+    SELECT rule, id FROM (SELECT id, unnest([CASE WHEN created <= 0 OR updated < created THEN 'times are positive and in order' END, CASE WHEN odd THEN 'operation has a known status' END, CASE WHEN twice THEN 'original paths come once' END, CASE WHEN rel THEN 'paths are absolute' END,
+      CASE WHEN unknown THEN 'item has a known status and kind' END, CASE WHEN neg THEN 'size is known and not negative' END, CASE WHEN back THEN 'restored items and only they say where and when' END]) AS rule FROM r) WHERE rule IS NOT NULL""",
+)
+def j_journal_rules(spark: SparkSession, d: str) -> DataFrame:
+    """An operation is one journal entry of at most 10,000 items by its definition."""
+    from stratafold.operators.journal import journal_violations
+
+    return journal_violations(cut(_operations(spark, d)))
+
+
+@query("j_journal_bounds", f"WITH {_OPS}, u AS (SELECT id, row_number() OVER w AS k, sum(n) OVER w AS upto FROM op WINDOW w AS (ORDER BY created DESC, id DESC ROWS UNBOUNDED PRECEDING)) SELECT id FROM u WHERE k = 1 OR (k <= 30 AND upto <= 500)")
+def j_journal_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The newest operations within 30 operations and 500 items: the store's bounds."""
+    from stratafold.operators.journal import bounded_journal
+
+    return bounded_journal(cut(_operations(spark, d)), 30, 500).select("id")
+
+
+@query("n_auto_restorable", f"WITH {_OPS} SELECT p AS original_path, s = 'identical' AND row_id % 2 = 0 AS automatic, count(*) AS items FROM it WHERE s IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2")
+def n_auto_restorable(spark: SparkSession, d: str) -> DataFrame:
+    from stratafold.operators.journal import auto_restorable
+
+    items = _operations(spark, d).select(F.explode("items").alias("x")).where("x.status <> 'odd' AND x.original_path IS NOT NULL")
+    return items.groupBy(F.col("x.original_path").alias("original_path"), auto_restorable(F.col("x")).alias("automatic")).agg(F.count("*").alias("items"))
+
+
+@query("n_with_digests", f"WITH {_OPS}, {INV}, k AS (SELECT path, min(string_split(class_id, ':')[2]) AS digest FROM inv WHERE class_id IS NOT NULL AND NOT starts_with(class_id, 'u:') GROUP BY 1) SELECT row_id, p AS original_path, k.digest FROM it LEFT JOIN k ON k.path = p")
+def n_with_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Items with the proven digest of their file."""
+    from stratafold.operators.journal import with_digests
+
+    size = F.when(F.col("path_a").isNull(), F.col("size_b")).otherwise(F.col("size_a"))
+    items = table(spark, d, "folder_compare").select("row_id", F.coalesce("path_a", "path_b").alias("original_path"), size.alias("size"), "status", "compare_id").distinct()
+    known = I.files(spark, d).where(I.shared_class(F.col("class_id"))).groupBy("path").agg(F.min("class_id").alias("class_id"))
+    return with_digests(items, known).select("row_id", "original_path", "digest")
+
+
+@query(
+    "m_remaining",
+    """SELECT event_id, CASE WHEN s < 60 THEN printf('~%d с', greatest(1, CAST(round_even(s, 0) AS INT))) WHEN s < 3600 THEN printf('~%d хв', greatest(1, CAST(round_even(s / 60, 0) AS INT))) ELSE printf('~%.1f год', s / 3600) END AS text
+    FROM (SELECT event_id, greatest(0, value * 100) AS s FROM events WHERE value IS NOT NULL)""",
+)
+def m_remaining(spark: SparkSession, d: str) -> DataFrame:
+    from stratafold.functions.text import remaining_text
+
+    return table(spark, d, "events").where("value IS NOT NULL").select("event_id", remaining_text(F.col("value") * 100).alias("text"))
+
+
+@query("m_phases", "SELECT doc_id, CASE WHEN lang = 'en' THEN source END AS label FROM documents WHERE source IS NOT NULL AND NOT contains(source, ' · ')")
+def m_phases(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as phases, those of one language counting bytes."""
+    from stratafold.functions.text import phase_label
+
+    rows = table(spark, d, "documents").where("source IS NOT NULL AND NOT contains(source, ' · ')")
+    unit = F.when(F.col("lang") == "en", "МіБ").otherwise("3")
+    return rows.select("doc_id", phase_label(F.concat_ws(" · ", "source", F.lit("/x"), unit)).alias("label"))
+
+
+@query(
+    "m_truncated",
+    "SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 60 THEN text ELSE substr(text, 1, list_max(list_filter(range(0, 58), lambda k: octet_length(encode(substr(text, 1, k))) <= 57))) || '…' END AS text FROM documents WHERE text IS NOT NULL",
+)
+def m_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Texts within 60 bytes, whole characters only: the bound is the feature."""
+    from stratafold.functions.text import truncate_utf8
+
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", truncate_utf8(F.col("text"), 60).alias("text"))
+
+
+@query(
+    "m_versions",
+    """WITH v AS (SELECT p_partkey AS id, p_size AS a, p_partkey % 30 AS b, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 12 END AS pre FROM part)
+    SELECT id, row_number() OVER (ORDER BY a, b, pre IS NULL, pre, id) AS k FROM v""",
+)
+def m_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Versions made of the parts, in order of precedence."""
+    from stratafold.functions.text import semver_key
+
+    k = F.col("p_partkey")
+    pre = F.when(k % 3 == 0, F.concat(F.lit("-rc."), (k % 12).cast("string"))).otherwise("")
+    version = F.concat(F.concat_ws(".", F.col("p_size").cast("string"), (k % 30).cast("string"), F.lit("0")), pre)
+    rows = table(spark, d, "part").select(k.alias("id"), semver_key(version).alias("v"))
+    flat = [F.col("v.major"), F.col("v.minor"), F.col("v.patch"), F.col("v.released"), F.col("v.pre"), F.col("id")]
+    return ranking.running(rows, flat).select("id", "k")
+
+
+@query("m_addresses", "SELECT p_partkey AS id, p_partkey % 5 = 0 AS fine FROM part")
+def m_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses made of the parts; one form of five is acceptable."""
+    from stratafold.functions.text import https_url
+
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    forms = [("https://x.org/", ""), ("http://x.org/", ""), ("https://u@x.org/", ""), ("https://x.org/", "#f"), ("https://x.org/a b", "")]
+    url = F.lit(None).cast("string")
+    for i, (head, tail) in enumerate(forms):
+        url = F.when(k % 5 == i, F.concat(F.lit(head), n, F.lit(tail))).otherwise(url)
+    return table(spark, d, "part").select(k.alias("id"), https_url(url).alias("fine"))
+
+
+@query(
+    "n_restore_names",
+    f"""WITH {INV}, ex AS (SELECT DISTINCT path FROM inv), i AS (SELECT DISTINCT path, 1 AS t FROM inv WHERE {_IMAGE} UNION ALL SELECT DISTINCT path, 2 FROM inv WHERE {_IMAGE})
+    SELECT path AS original_path, substr(path, 1, length(path) - e) || ' (restored ' || t || ')' || substr(path, length(path) - e + 1) AS final
+    FROM (SELECT *, length(regexp_extract(regexp_extract(path, '[^/]*$'), '^\\.*[^.].*(\\.[^.]*)$', 1)) AS e FROM i)""",
+)
+def n_restore_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every image twice in the trash, its name being taken."""
+    rows = cut(I.files(spark, d).select("path").distinct())
+    images = rows.where(_image()).select(F.col("path").alias("original_path"))
+    twice = images.withColumn("trashed_path", F.lit("/t/1")).union(images.withColumn("trashed_path", F.lit("/t/2")))
+    return removal.restore_names(twice, rows).select("original_path", "final")
+
+
 SQL["n_transfer_names"] = _NAMES + " SELECT source, target, final, action FROM fn"

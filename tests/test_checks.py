@@ -113,3 +113,15 @@ def test_a_pair_is_scanned_again(spark):
     classes = spark.createDataFrame([(p, k) for _, p, _, _, _, k, _ in e], "path string, class_id string")
     assert [tuple(r) for r in removal.fresh_pair(df, ("/b", "/a"), classes=classes).collect()] == [("/a", "/b", 80.0, 10, 1)]
     assert removal.fresh_pair(df, ("/a", "/none"), classes=classes).count() == 0
+
+
+def test_names_after_collisions(spark):
+    there = spark.createDataFrame([("/a/x.txt", "1:a"), ("/a/x (3).txt", "1:b"), ("/a/y (restored 2).z", None), ("/a/y.z", None), ("/n (restored)", None)], "path string, class_id string")
+    plan = spark.createDataFrame([("/s1", "/a/x.txt", "u:1"), ("/s2", "/a/x.txt", "u:2"), ("/s3", "/a/x.txt", "1:a"), ("/s4", "/free", "u:4"), ("/s5", "/free", None)], "source string, target string, class_id string")
+    assert [tuple(r) for r in removal.final_names(plan, there).orderBy("source").collect()] == [
+        ("/s1", "/a/x.txt", "/a/x (2).txt", "transfer"), ("/s2", "/a/x.txt", "/a/x (4).txt", "transfer"), ("/s3", "/a/x.txt", None, "skip"), ("/s4", "/free", "/free", "transfer"), ("/s5", "/free", "/free (2)", "transfer"),
+    ]
+    assert [r["action"] for r in removal.final_names(plan, there, 3).orderBy("source").collect()] == ["transfer", "error", "skip", "transfer", "transfer"]
+    items = spark.createDataFrame([("/a/y.z", "/t/1"), ("/a/y.z", "/t/2"), ("/n", "/t/1"), ("/n", "/t/2"), ("/free", "/t/1")], "original_path string, trashed_path string")
+    got = [tuple(r) for r in removal.restore_names(items, there).orderBy("original_path", "trashed_path").collect()]
+    assert got == [("/a/y.z", "/t/1", "/a/y (restored 1).z"), ("/a/y.z", "/t/2", "/a/y (restored 3).z"), ("/free", "/t/1", "/free"), ("/n", "/t/1", "/n"), ("/n", "/t/2", "/n (restored 1)")]

@@ -51,6 +51,12 @@ def test_sizes(spark):
     assert column(spark, ["Читаю · /a/b · МіБ", "Читаю · 3", None], "string", X.phase_label) == ["Читаю", None, None]
 
 
+def test_one_decimal(spark):
+    r = random.Random(4)
+    v = [0.0, 0.05, 0.15, 0.25, 0.35, 1.95, 1.45, 2.0 - 1e-12, 9.95, 1e6 + 0.05, *(r.random() * 100 for _ in range(200)), *(k / 20 for k in range(400))]
+    assert column(spark, v, "double", X.one_decimal) == [f"{x:.1f}" for x in v]
+
+
 def test_safe_text(spark):
     assert column(spark, ["=1+1", " \t-x", "ok", "", None], "string", X.csv_safe) == ["'=1+1", "' \t-x", "ok", "", None]
     assert column(spark, ["<a href=\"x\">'&"], "string", X.html_escape) == ["&lt;a href=&quot;x&quot;&gt;&#x27;&amp;"]
