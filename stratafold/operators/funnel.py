@@ -11,7 +11,7 @@ PROBE = 131_072
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+def shared(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows whose keys occur more than once. The counts combine on the map side."""
     many = rows.groupBy(*keys).count().where("count > 1").select(*keys)
     return rows.join(many, list(keys), "left_semi")
@@ -26,12 +26,12 @@ def classify(inventory: DataFrame, content: DataFrame, ident: str = "path") -> D
     missing (unreadable) are unique.
     """
     rows = inventory.select(ident, "size")
-    candidates = _shared(rows.where("size > 0"), "size")
+    candidates = shared(rows.where("size > 0"), "size")
     read = candidates.join(content.select(ident, "content"), ident)
     probed = read.select(ident, "size", "content", F.sha2(F.substring("content", 1, PROBE), 256).alias("probe"))
-    same_head = _shared(probed, "size", "probe")
+    same_head = shared(probed, "size", "probe")
     full = F.when(F.col("size") <= PROBE, F.col("probe")).otherwise(F.sha2("content", 256))
-    proven = _shared(same_head.select(ident, "size", full.alias("digest")), "size", "digest")
+    proven = shared(same_head.select(ident, "size", full.alias("digest")), "size", "digest")
     digests = proven.select(ident, "digest").unionByName(rows.where("size = 0").select(ident, F.lit(EMPTY).alias("digest")))
     out = rows.join(digests, ident, "left")
     unique = F.concat(F.lit("u:"), F.col(ident).cast("string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.functions.paths import ancestors, depth, dirname
@@ -127,6 +127,15 @@ def scan(
     return Scan(files, aliases, links, cut(_folders(rows, shut, unread)), errors, complete)
 
 
+def scan_roots(spark: SparkSession, *roots: str, profile: Profile = Profile()) -> Scan:
+    """:func:`scan` of the folders ``roots``: walked level by level, contents read piece by piece and only where sizes and first bytes
+    agree. Excluded entries and hard links are read too where their sizes occur twice."""
+    from stratafold.sources.walk import read_classes, walk
+
+    entries = walk(spark, *roots)
+    return scan(entries, classes=read_classes(entries.where("kind = 'file'")), profile=profile)
+
+
 def _folders(rows: DataFrame, shut: DataFrame, unread: DataFrame) -> DataFrame:
     """Every folder of the scan with what keeps it from being complete."""
     mark = lambda df, path, ok, failed: df.select(path.alias("dir"), ok.alias("ok"), failed.alias("read_failed"))

@@ -15,6 +15,8 @@ from stratafold.session import cut
 FANOUT = 64
 PAIRS = 400
 EVIDENCE = 60
+#: Pairs up to which scoring all is cheaper than bounding them first; results don't depend on it.
+FEW = 500_000
 
 
 def sampled_folders(dup: DataFrame, fanout: int | None = FANOUT) -> DataFrame:
@@ -89,10 +91,13 @@ def top_pairs(scored: DataFrame, k: int = PAIRS) -> DataFrame:
     return scored.orderBy(F.desc("shared_bytes"), F.desc("percent"), F.desc("dir_a"), F.desc("dir_b")).limit(k)
 
 
-def best_pairs(pairs: DataFrame, counts: DataFrame, sums: DataFrame, k: int = PAIRS) -> DataFrame:
-    """:func:`top_pairs` of :func:`score_pairs`, without scoring all pairs. A pair shares no more than the smaller of both folders'
+def best_pairs(pairs: DataFrame, counts: DataFrame, sums: DataFrame, k: int = PAIRS, few: int = FEW) -> DataFrame:
+    """:func:`top_pairs` of :func:`score_pairs`, without scoring all pairs where there are more than ``few``. A pair shares no more than the smaller of both folders'
     duplicate bytes. The ``k`` pairs of the greatest bounds are scored first; their least shared bytes are reached by k pairs, so
     only pairs whose bound reaches them too can be among the first ``k``."""
+    pairs = cut(pairs)
+    if pairs.count() <= few:
+        return top_pairs(score_pairs(pairs, counts, sums), k)
     held = counts.groupBy("dir").agg(F.sum(F.col("size") * F.col("n")).alias("held"))
     bounded = pairs.join(held.select(F.col("dir").alias("dir_a"), F.col("held").alias("ha")), "dir_a").join(held.select(F.col("dir").alias("dir_b"), F.col("held").alias("hb")), "dir_b")
     bounded = cut(bounded.select("dir_a", "dir_b", F.least("ha", "hb").alias("bound")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,11 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {setting} to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="stratafold-")
+        path = "file://" + _temporary()
         spark.conf.set("stratafold.scratch", path)
     return path.rstrip("/")
 
 
+def _temporary() -> str:
+    """A folder of this process, deleted at its end."""
+    path = tempfile.mkdtemp(prefix="stratafold-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: its lineage ends there, and it survives the loss
     of executors. The columns keep their names and types."""
@@ -100,7 +108,7 @@ def ship(spark: SparkSession) -> None:
         return
     base = Path(__file__).resolve().parent.parent
     if base.is_dir():
-        target = Path(tempfile.mkdtemp(prefix="stratafold-")) / "stratafold.zip"
+        target = Path(_temporary()) / "stratafold.zip"
         with zipfile.ZipFile(target, "w") as z:
             for p in sorted((base / "stratafold").rglob("*.py")):
                 z.write(p, p.relative_to(base))

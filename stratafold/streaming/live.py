@@ -42,7 +42,9 @@ def incremental_rescan(stream: DataFrame, cache_folder: str, digest: Callable[[D
 
 def stateful_fold(stream: DataFrame, key: str, order: list[str], start: Callable[[], Any], fields: list[str], step: Callable[[Any, Any], Any], out: str) -> DataFrame:
     """Each stream's operator state kept between batches: ``start()`` makes it, ``fields`` are its plain attributes to keep,
-    ``step(state, row)`` gives the value of ``out`` ("name type") for each row. Rows of a batch are taken in ``order``."""
+    ``step(state, row)`` gives the value of ``out`` ("name type") for each row. Rows of a batch are taken in ``order``, for which a
+    key's rows of one batch are held in memory; the source's limit for a trigger bounds them. With an empty ``order`` they are taken as they
+    come, piece by piece."""
     import pickle
 
     name = out.split()[0]
@@ -53,10 +55,11 @@ def stateful_fold(stream: DataFrame, key: str, order: list[str], start: Callable
         if state.exists:
             for f, v in zip(fields, pickle.loads(state.get[0])):
                 setattr(fold, f, v)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        values = [step(fold, r) for r in rows.itertuples(index=False)]
+        parts = [pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")] if order else batches
+        for rows in parts:
+            values = [step(fold, r) for r in rows.itertuples(index=False)]
+            yield rows.assign(**{name: pd.Series(values, index=rows.index, dtype=object)})
         state.update((pickle.dumps([getattr(fold, f) for f in fields]),))
-        yield rows.assign(**{name: pd.Series(values, index=rows.index, dtype=object)})
 
     return stream.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratafold.operators import scan as S
 from stratafold.operators.views import Profile
-from stratafold.sources.walk import read_content, read_tree
+from stratafold.sources.walk import read_classes, read_content, read_digests, read_tree, walk
 
 
 @pytest.fixture
@@ -75,3 +75,39 @@ def test_no_entries_and_few_errors(spark, disk):
     e = spark.createDataFrame([(f"/{k}", "m") for k in range(9)], "path string, message string")
     first, total = S.kept_errors(e, 4)
     assert first.count() == 4 and total.collect()[0]["problems"] == 9 and S.kept_errors(e, None)[0].count() == 9
+
+
+def test_walk_by_levels_equals_the_data_source(spark, disk):
+    a, b = ({tuple(r) for r in f(spark, disk).drop("btime_ns").collect()} for f in (walk, read_tree))
+    assert a == b and len(a) > 15
+    assert walk(spark).count() == 0
+
+
+def test_digests_piece_by_piece(spark, disk, tmp_path, monkeypatch):
+    import hashlib
+
+    big = tmp_path / "big"
+    big.write_bytes(b"x" * 3_000_000)
+    asked = [str(big), f"{disk}/c/ln", f"{disk}/none", disk, f"{disk}/a/x.txt", f"{disk}/a/x.txt", None]
+    df = spark.createDataFrame([(p,) for p in asked], "path string")
+    got = {r["path"]: (r["digest"], r["error"]) for r in read_digests(df).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {str(big): (sha(b"x" * 3_000_000), None), f"{disk}/c/ln": (sha(b"x.txt"), None), f"{disk}/none": (None, "No such file or directory"), disk: (None, "no regular file"), f"{disk}/a/x.txt": (sha(b"same"), None)}
+    assert read_digests(df, 2).where(F.col("path") == str(big)).collect()[0]["digest"] == sha(b"xx")
+
+
+def test_classes_of_files(spark, tmp_path):
+    big = b"y" * 200_000
+    for name, raw in {"a": big + b"1", "b": big + b"1", "c": big + b"2", "d": b"zz", "e": b"zy", "f": b"", "g": b"one"}.items():
+        (tmp_path / name).write_bytes(raw)
+    files = walk(spark, str(tmp_path)).where("kind = 'file'").select("path", "size")
+    more = files.unionByName(spark.createDataFrame([(f"{tmp_path}/gone", 2)], files.schema))
+    got = {r["path"].rsplit("/", 1)[1]: r["class_id"] for r in read_classes(more).collect()}
+    assert got["a"] == got["b"] and got["a"].startswith("200001:") and got["gone"] is None and got["f"].startswith("0:e3b0c4")
+    assert all(got[k].startswith("u:") for k in "cdeg")
+
+
+def test_scan_of_roots_equals_the_scan_of_contents(spark, disk):
+    s, t = S.scan_roots(spark, disk), S.scan(read_tree(spark, disk), read_content(spark, disk))
+    for one, two in ((s.file_groups(), t.file_groups()), (s.folder_groups(), t.folder_groups()), (s.aliases, t.aliases), (s.folders, t.folders)):
+        assert {tuple(r) for r in one.collect()} == {tuple(r) for r in two.collect()}
