@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own: set[str] = set()
+#: Rows that a bucket of a kept table holds at least, where their number is known.
+BUCKET = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,13 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def cut_by(df: DataFrame, column: str) -> DataFrame:
+def cut_by(df: DataFrame, column: str, rows: int | None = None) -> DataFrame:
     """:func:`cut` in a layout that later joins and aggregations on ``column`` use as it is: hashed into as many buckets as there
-    are shuffle partitions, each one sorted file. Reading it again for a join on ``column`` shuffles and sorts nothing."""
+    are shuffle partitions, each one sorted file; into fewer, but one a core at least, if the number of ``rows`` is known and small. Reading
+    it again for a join on ``column`` shuffles and sorts nothing."""
     spark = df.sparkSession
     name = f"stratafold_{uuid.uuid4().hex}"
     path = f"{_own_dir(spark)}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        n = min(n, max(spark.sparkContext.defaultParallelism, rows // BUCKET + 1))
     df.repartition(n, column).sortWithinPartitions(column).write.format("parquet").bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._stratafold_path, out._stratafold_table = path, name
