@@ -44,7 +44,7 @@ def linked_groups(links: DataFrame) -> DataFrame:
     )
     one_way = cut(ends.select("x", "y"))
     both = one_way.select(F.col("x").alias("src"), F.col("y").alias("dst")).union(one_way.select("y", "x"))
-    edges = cut_by(both, "src")
+    edges = cut_by(both, "src", 2 * one_way.count())
     release(pairs, one_way)
 
     hub = edges.groupBy("src").count().orderBy(F.desc("count"), "src").head(1)
