@@ -67,6 +67,11 @@ def problem_summary(messages: DataFrame, column: str) -> DataFrame:
     return titled.orderBy(F.desc("problems"), "title")
 
 
+def problem_caption(shown: Column, total: Column) -> Column:
+    """What a list says that shows fewer problems than there are; null if it shows all. Thousands are parted by commas."""
+    return F.when(total > shown, F.concat(F.lit("Показано "), F.format_number(shown, 0), F.lit(" із "), F.format_number(total, 0)))
+
+
 def independent_copies(files: DataFrame) -> DataFrame:
     """(class_id, copies, inodes) of classes with two different inodes or more."""
     g = files.groupBy("class_id").agg(F.count("*").alias("copies"), F.countDistinct("dev", "ino").alias("inodes"))

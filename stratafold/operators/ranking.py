@@ -49,6 +49,17 @@ def keep_order(rules: KeepRules, path: Column, mtime: Column) -> list[Column]:
     return [*keys, casefold(path).alias("k5"), nfc(path).alias("k6"), path.alias("k7")]
 
 
+# The columns that may hold a copy's time, the first one counts.
+TIMES = ("mtime_ns", "modified_ns", "mtime", "btime_ns")
+
+
+def time_of(rows: DataFrame) -> Column:
+    """A copy's time as a double: the first known one of ``TIMES`` among the columns of ``rows``; null if that is negative or no number."""
+    known = [F.col(c).cast("double") for c in TIMES if c in rows.columns]
+    value = F.coalesce(*known) if known else F.lit(None).cast("double")
+    return F.when((value >= 0) & ~F.isnan(value) & (value < float("inf")), value)
+
+
 def choose_keepers(copies: DataFrame, rules: KeepRules) -> DataFrame:
     """``(class_id, keeper)``: a minimum of structs per group, combined on the map side; no group is collected or sorted."""
     order = F.struct(*keep_order(rules, F.col("path"), F.col("mtime_ns")))
@@ -62,13 +73,15 @@ def removals(copies: DataFrame, rules: KeepRules, reference_roots: Sequence[str]
     return copies.join(k, "class_id").where((path != F.col("keeper")) & ~under_any(path, [*rules.always_keep, *reference_roots])).select("class_id", "path", "keeper")
 
 
-def safe_selection(copies: DataFrame, wanted: Column) -> DataFrame:
-    """``(class_id, path, selected)`` of groups of two or more: the wanted copies, but where that is a whole group its
-    survivor, the oldest (unknown times count as 0, ties go to the first path), is let go."""
+def safe_selection(copies: DataFrame, wanted: Column, prior: Column | None = None) -> DataFrame:
+    """``(class_id, path, selected)`` of groups of two or more: the wanted copies and those of an earlier selection (``prior``), which a view that
+    hides them doesn't touch; but where that is a whole group its survivor, the oldest of the wanted ones (unknown times
+    count as 0, ties go to the first path), is let go."""
+    chosen = wanted if prior is None else wanted | F.coalesce(prior, F.lit(False))
     age = F.struct(F.coalesce("mtime_ns", F.lit(0)).alias("t"), "path")
-    g = copies.groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(wanted).alias("s"), F.min(age).alias("a")).where("n >= 2")
+    g = copies.groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(chosen).alias("s"), F.min(F.when(wanted, age)).alias("a")).where("n >= 2")
     j = copies.join(g, "class_id")
-    return j.select("class_id", "path", F.coalesce(wanted & ~((F.col("s") == F.col("n")) & (F.col("path") == F.col("a.path"))), F.lit(False)).alias("selected"))
+    return j.select("class_id", "path", F.coalesce(chosen & ~F.coalesce((F.col("s") == F.col("n")) & (F.col("path") == F.col("a.path")), F.lit(False)), F.lit(False)).alias("selected"))
 
 
 def reclaimable(copies: DataFrame, selected: Column) -> DataFrame:

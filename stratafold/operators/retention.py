@@ -48,3 +48,15 @@ def bounded_log(lines: DataFrame, order: str, text: str, budget: int, entry: int
     size = F.octet_length(text)
     short = lines.withColumn(text, F.when(size > entry, F.lit("<oversized-text-omitted>")).otherwise(F.col(text)))
     return running(short, [F.col(order)], F.coalesce(F.octet_length(text) + 1, F.lit(0)).cast("bigint"), "upto").where(F.col("upto") <= budget).drop("upto")
+
+
+def legacy_cut(scans: DataFrame, now_ns: int, days: int, preserved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the scans to delete, one row (removed, freed_bytes, store_bytes)) of ``scans(path, created_ns, size, legacy)``: those of the legacy form that
+    are older than ``days``. The newest scan and ``preserved(path)`` stay; nothing is deleted here, ``store_bytes`` is what would be left."""
+    newest = scans.agg(F.max(F.struct("created_ns", "path")).alias("n")).select(F.col("n.path").alias("path"))
+    old = scans.where(F.col("legacy") & (F.col("created_ns") < now_ns - days * 86_400 * 10**9)).join(newest, "path", "left_anti")
+    if preserved is not None:
+        old = old.join(preserved.select("path"), "path", "left_anti")
+    marked = scans.join(old.select("path", F.lit(True).alias("gone")), "path", "left")
+    size = lambda gone: F.coalesce(F.sum(F.when(F.col("gone").isNotNull() if gone else F.col("gone").isNull(), F.col("size"))), F.lit(0))
+    return old, marked.agg(F.count("gone").alias("removed"), size(True).alias("freed_bytes"), size(False).alias("store_bytes"))

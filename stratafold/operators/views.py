@@ -306,3 +306,13 @@ def read_only(live: Column, partial: Column) -> Column:
 def ready_to_act(live: Column, partial: Column) -> Column:
     """Whether copies may be acted on: the result is of this run and whole."""
     return ~read_only(live, partial)
+
+
+def review_queue(problems: DataFrame, pairs: DataFrame, tags: DataFrame, selected: DataFrame, closed: bool = False, approved: str = "Схвалено") -> DataFrame:
+    """One row (problems, pairs, selected, external, total): what is still to be looked at: problems, ``pairs(a, b)`` whose tag in ``tags(a, b,
+    tag)`` isn't ``approved`` (one without a tag is open), the ``selected(path)``, those on external volumes among them counted too, and one more
+    for a result that is read only."""
+    open_pairs = pairs.join(tags, ["a", "b"], "left").where(F.coalesce(F.col("tag") != approved, F.lit(True))).agg(F.count("*").alias("pairs"))
+    chosen = selected.agg(F.count("*").alias("selected"), F.count_if(F.col("path").startswith("/Volumes/")).alias("external"))
+    row = problems.agg(F.count("*").alias("problems")).crossJoin(F.broadcast(open_pairs)).crossJoin(F.broadcast(chosen))
+    return row.withColumn("total", F.col("problems") + F.col("pairs") + F.col("selected") + int(closed))

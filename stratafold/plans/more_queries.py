@@ -567,4 +567,103 @@ def n_restore_names(spark: SparkSession, d: str) -> DataFrame:
     return removal.restore_names(twice, rows).select("original_path", "final")
 
 
+def _preset(name: str, rule: str) -> None:
+    sql = f"WITH {DUP}, g AS (SELECT class_id FROM dup GROUP BY 1 HAVING {rule}) SELECT class_id, path FROM dup JOIN g USING (class_id)"
+    query(f"b_preset_{name}", sql)(lambda spark, d: views.visible_copies(cut(_dups(spark, d)), preset=name).select("class_id", "path"))
+
+
+_preset("safe", "count(*) > 1 AND NOT bool_or(mtime_ns IS NULL OR mtime_ns <= 0)")
+_preset("network", "bool_or(starts_with(path, '/Volumes/'))")
+
+
+@query(
+    "h_scoped_selection",
+    f"""WITH {DUP}, m AS (SELECT *, {_IMAGE} OR {sql_category('path')} = 'document' AS want, starts_with(path, '/Volumes/') AS prior FROM dup),
+    g AS (SELECT class_id, count(*) AS n, count(*) FILTER (want OR prior) AS s, min({{'t': coalesce(mtime_ns, 0), 'p': path}}) FILTER (want) AS a FROM m GROUP BY 1 HAVING count(*) >= 2)
+    SELECT class_id, path, (want OR prior) AND NOT coalesce(s = n AND path = a.p, false) AS selected FROM m JOIN g USING (class_id)""",
+)
+def h_scoped_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Images and documents are selected, copies on volumes were before and are hidden now."""
+    kind = category(F.col("path"))
+    return ranking.safe_selection(cut(_dups(spark, d)), (kind == "image") | (kind == "document"), F.col("path").startswith("/Volumes/"))
+
+
+@query("h_times", f"WITH {INV} SELECT path, CASE WHEN coalesce(CAST(mtime_ns AS DOUBLE), CAST(btime_ns AS DOUBLE)) >= 0 THEN coalesce(CAST(mtime_ns AS DOUBLE), CAST(btime_ns AS DOUBLE)) END AS t FROM inv")
+def h_times(spark: SparkSession, d: str) -> DataFrame:
+    rows = I.files(spark, d).select("path", "mtime_ns", "btime_ns")
+    return rows.select("path", ranking.time_of(rows).alias("t"))
+
+
+@query(
+    "i_legacy_cut",
+    f"""WITH s AS (SELECT CAST(cluster_id AS VARCHAR) AS path, epoch_us(built_at) * 1000 AS t, coalesce(size, 0) AS size, class_count % 2 = 0 AS legacy FROM (SELECT DISTINCT cluster_id, built_at, size, class_count FROM dir_clusters)),
+    o AS (SELECT path FROM s WHERE legacy AND t < (SELECT max(t) FROM s) - 86400000000000 AND path <> (SELECT max({{'t': t, 'p': path}}).p FROM s))
+    SELECT count(*) FILTER (path IN (SELECT path FROM o)) AS removed, CAST(coalesce(sum(size) FILTER (path IN (SELECT path FROM o)), 0) AS BIGINT) AS freed_bytes, CAST(coalesce(sum(size) FILTER (path NOT IN (SELECT path FROM o)), 0) AS BIGINT) AS store_bytes FROM s""",
+)
+def i_legacy_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters as saved scans, those of an even number of classes in the legacy form, cut at a day before the newest."""
+    from stratafold.operators.retention import legacy_cut
+
+    rows = table(spark, d, "dir_clusters").select("cluster_id", "built_at", "size", "class_count").distinct()
+    at = F.unix_micros(F.col("built_at").cast("timestamp")) * 1000
+    scans = cut(rows.select(F.col("cluster_id").cast("string").alias("path"), at.alias("created_ns"), F.coalesce("size", F.lit(0)).alias("size"), (F.col("class_count") % 2 == 0).alias("legacy")))
+    newest = scans.agg(F.max("created_ns")).head()[0] or 0
+    return legacy_cut(scans, newest, 1)[1]
+
+
+@query(
+    "p_review_total",
+    f"""WITH {INV}, t AS (SELECT least(dir_a, dir_b) AS a, greatest(dir_a, dir_b) AS b, max_by(status, row_id) AS tag FROM folder_compare WHERE dir_a IS NOT NULL AND dir_b IS NOT NULL AND status IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT DISTINCT least(dir_a, dir_b) AS a, greatest(dir_a, dir_b) AS b FROM sim_pairs WHERE dir_a IS NOT NULL AND dir_b IS NOT NULL),
+    c AS (SELECT (SELECT count(*) FROM inv WHERE size IS NULL) AS problems, (SELECT count(*) FROM p LEFT JOIN t USING (a, b) WHERE coalesce(tag <> 'identical', true)) AS pairs, (SELECT count(*) FROM inv WHERE {_IMAGE}) AS selected, (SELECT count(*) FROM inv WHERE {_IMAGE} AND starts_with(path, '/Volumes/')) AS external)
+    SELECT *, problems + pairs + selected + 1 AS total FROM c""",
+)
+def p_review_total(spark: SparkSession, d: str) -> DataFrame:
+    """Everything that waits for a look, all images being selected in a result that is read only."""
+    key = [F.least("dir_a", "dir_b").alias("a"), F.greatest("dir_a", "dir_b").alias("b")]
+    both = "dir_a IS NOT NULL AND dir_b IS NOT NULL"
+    tags = table(spark, d, "folder_compare").where(both + " AND status IS NOT NULL").groupBy(*key).agg(F.max_by("status", "row_id").alias("tag"))
+    rows = cut(I.files(spark, d))
+    return views.review_queue(rows.where("size IS NULL"), table(spark, d, "sim_pairs").where(both).select(*key).distinct(), tags, rows.where(_image()).select("path"), True, "identical")
+
+
+@query("m_advice", f"WITH {_MESSAGES} SELECT title, count(*) AS messages, min(length(title)) AS n FROM (SELECT {sql_problem('message')} AS title FROM ms) GROUP BY 1")
+def m_advice(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of problems that have an advice, which is all of them."""
+    from stratafold.functions.text import problem_advice, problem_title
+
+    prefix = F.when(F.col("lang") == "en", "fskit: ").when(F.col("lang") == "uk", "no such file: ").otherwise("")
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.concat(prefix, "text").alias("m"))
+    rows = rows.select(problem_title(F.col("m")).alias("title"), problem_advice(F.col("m")).alias("advice")).where("advice IS NOT NULL")
+    return rows.groupBy("title").agg(F.count("*").alias("messages"), F.min(F.length("title")).alias("n"))
+
+
+@query("m_labels", f"WITH {INV} SELECT {sql_category('path')} AS category, CASE {sql_category('path')} WHEN 'image' THEN 'Зображення' WHEN 'video' THEN 'Відео' WHEN 'audio' THEN 'Аудіо' WHEN 'document' THEN 'Документи' WHEN 'archive' THEN 'Архіви' WHEN 'application' THEN 'Програми й пакети' ELSE 'Інше' END AS label, count(*) AS files FROM inv GROUP BY 1, 2")
+def m_labels(spark: SparkSession, d: str) -> DataFrame:
+    from stratafold.functions.text import category_label
+
+    kinds = I.files(spark, d).groupBy(category(F.col("path")).alias("category")).agg(F.count("*").alias("files"))
+    return kinds.select("category", category_label(F.col("category"), "uk").alias("label"), "files")
+
+
+@query(
+    "n_restore_verdicts",
+    f"""WITH {INV}, s AS (SELECT path, size, class_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY file_id) AS r FROM inv) WHERE r = 1 AND size IS NOT NULL),
+    i AS (SELECT *, {sql_category('path')} AS kind FROM s)
+    SELECT path AS trashed_path, CASE kind WHEN 'image' THEN 'done' WHEN 'audio' THEN 'gone' WHEN 'video' THEN 'changed' WHEN 'archive' THEN 'outside' WHEN 'document' THEN 'occupied' ELSE 'ready' END AS verdict FROM i""",
+)
+def n_restore_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Journal items whose verdict follows from their category: restored, gone, of another size, from outside, taken, or ready."""
+    rows = cut(I.files(spark, d).where("size IS NOT NULL").groupBy("path").agg(F.min("size").alias("size"), F.min("class_id").alias("class_id")))
+    kind = category(F.col("path"))
+    place = F.when(kind == "archive", F.concat(F.lit("/other"), "path")).when(kind == "document", F.col("path")).otherwise(F.concat(F.lit("/Users/back"), "path"))
+    trashed = F.when(kind == "audio", F.concat(F.lit("/gone"), "path")).otherwise(F.col("path"))
+    size = F.when(kind == "video", F.col("size") + 1).otherwise(F.col("size"))
+    status = F.when(kind == "image", "restored").otherwise("trashed")
+    items = cut(rows.select(place.alias("original_path"), trashed.alias("trashed_path"), size.alias("size"), F.lit(None).cast("string").alias("digest"), status.alias("status"), F.col("path").alias("own")))
+    roots = spark.createDataFrame([("/Users",), ("/Volumes",), ("/mnt",), ("/srv",)], "root string")
+    found = removal.restorable(items.drop("own"), rows, roots)
+    return items.join(found, "original_path").select(F.col("own").alias("trashed_path"), "verdict")
+
+
 SQL["n_transfer_names"] = _NAMES + " SELECT source, target, final, action FROM fn"

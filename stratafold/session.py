@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,3 +121,18 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(base))
         sc.addPyFile(str(target))
     sc._stratafold_shipped = True
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """All jobs started in this block can be ended by :func:`cancel` from another thread; what was written before stays."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """End the jobs of :func:`cancellable` blocks with this tag."""
+    spark.sparkContext.cancelJobsWithTag(tag)

@@ -23,8 +23,11 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str, most: int = 1 << 26) -> str:
+    """The text of a small file; ValueError for one of more than ``most`` bytes, of which nothing is read."""
     fs, p = _at(spark, path)
+    if fs.getFileStatus(p).getLen() > most:
+        raise ValueError(f"{path} is larger than {most} bytes")
     stream = fs.open(p)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")

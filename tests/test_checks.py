@@ -125,3 +125,41 @@ def test_names_after_collisions(spark):
     items = spark.createDataFrame([("/a/y.z", "/t/1"), ("/a/y.z", "/t/2"), ("/n", "/t/1"), ("/n", "/t/2"), ("/free", "/t/1")], "original_path string, trashed_path string")
     got = [tuple(r) for r in removal.restore_names(items, there).orderBy("original_path", "trashed_path").collect()]
     assert got == [("/a/y.z", "/t/1", "/a/y (restored 1).z"), ("/a/y.z", "/t/2", "/a/y (restored 3).z"), ("/free", "/t/1", "/free"), ("/n", "/t/1", "/n"), ("/n", "/t/2", "/n (restored 1)")]
+
+
+def test_legacy_cut_and_captions(spark):
+    from stratafold.functions.text import redact_all
+    from stratafold.operators.groups import problem_caption
+    from stratafold.operators.ranking import safe_selection, time_of
+    from stratafold.operators.retention import legacy_cut
+
+    day = 86_400 * 10**9
+    scans = spark.createDataFrame([("a", 0, 5, True), ("b", 0, 7, False), ("c", 3 * day, 9, True), ("d", day, 1, True)], "path string, created_ns bigint, size bigint, legacy boolean")
+    old, totals = legacy_cut(scans, 100 * day, 2, spark.createDataFrame([("d",)], "path string"))
+    assert rows(old.select("path")) == [("a",)] and rows(totals) == [(1, 5, 17)]
+    assert rows(legacy_cut(scans.limit(0), 1, 1)[1]) == [(0, 0, 0)]
+    df = spark.createDataFrame([(3, 1200), (5, 5)], "s int, t int")
+    assert [r[0] for r in df.select(problem_caption(F.col("s"), F.col("t"))).collect()] == ["Показано 3 із 1,200", None]
+    t = spark.createDataFrame([(None, 5.0, 7), (None, float("nan"), 7), (-1, 5.0, 7), (None, None, 7), (None, None, None)], "mtime_ns bigint, mtime double, btime_ns bigint")
+    assert [r[0] for r in t.select(time_of(t)).collect()] == [5.0, None, None, 7.0, None]
+    texts = spark.createDataFrame([(["a@b.org", None, "token=x"],), (None,), ([],)], "t array<string>")
+    assert [r[0] for r in texts.select(redact_all(F.col("t"))).collect()] == [["<EMAIL>", None, "token=<REDACTED>"], None, []]
+    c = spark.createDataFrame([("g", "/a", 2), ("g", "/b", 1), ("g", "/v", 0), ("h", "/c", 1), ("h", "/d", 1), ("p", "/v1", 1), ("p", "/v2", 1)], "class_id string, path string, mtime_ns bigint")
+    got = dict((r["path"], r["selected"]) for r in safe_selection(c, ~F.col("path").startswith("/v"), F.col("path").startswith("/v")).collect())
+    # the oldest wanted copy is let go; a group selected before as a whole isn't touched
+    assert got == {"/a": True, "/b": False, "/v": True, "/c": False, "/d": True, "/v1": True, "/v2": True}
+
+
+def test_cancelled_jobs_end(spark):
+    import threading
+    import time
+
+    from stratafold.session import cancel, cancellable
+
+    def later():
+        time.sleep(3)
+        cancel(spark, "stop-me")
+
+    threading.Thread(target=later).start()
+    with pytest.raises(Exception, match="(?i)cancel"), cancellable(spark, "stop-me"):
+        spark.range(2).mapInArrow(lambda batches: (time.sleep(40) or b for b in batches), "id bigint").collect()
