@@ -44,6 +44,13 @@ def folder_clusters(files: DataFrame, min_files: int = 0) -> DataFrame:
     return out.select("cluster", "dir", "dup_files", "total_files", percent.alias("percent"), "class_count", "size", "dup_file_count")
 
 
+def cluster_totals(clusters: DataFrame) -> DataFrame:
+    """One row over the rows of :func:`folder_clusters`: clusters, folders, bytes and duplicate files."""
+    one = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.max("size").alias("s"), F.max("dup_file_count").alias("d"))
+    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return one.agg(F.count("*").alias("clusters"), zero("n", "folders"), zero("s", "bytes"), zero("d", "dup_files"))
+
+
 def hash_classes(hashes: DataFrame) -> DataFrame:
     """``(hash, rep)``: the smallest id of each hash; null hashes have none."""
     return hashes.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("rep"))

@@ -13,6 +13,11 @@ IDENTITY = ["dev", "ino", "size", "mtime_ns", "ctime_ns"]
 SUFFIXES = 10_000
 
 
+def operation_identity(kind: Column) -> Column:
+    """What an operation remembers of an entry to know it again: device, inode, kind, size and both times."""
+    return F.struct("dev", "ino", kind.alias("kind"), "size", "mtime_ns", "ctime_ns")
+
+
 def survivors(victims: DataFrame, files: DataFrame) -> DataFrame:
     """``(path, safe)``: whether another file of the victim's class, on another inode, stays. Files among the victims don't
     stay. Per class the least and greatest inode that stays decide, so no pairs of files are formed."""

@@ -52,8 +52,9 @@ class Scan:
         return tree.folder_digests(self.folders, self.files, self.links, self.aliases)
 
     def folder_groups(self) -> DataFrame:
-        """Identical folders; none of a scan that was stopped."""
-        found = tree.identical_folders(self.digests(), tree.subtree_sums(self.files))
+        """Identical folders, hard links among their files; none of a scan that was stopped."""
+        digests = cut(self.digests())
+        found = tree.identical_folders(digests, tree.subtree_sums(self.files, self.aliases, digests))
         return found if self.complete else found.limit(0)
 
     def pairs(self, ignored: DataFrame | None = None, k: int | None = similar.PAIRS, sampled: bool = True) -> DataFrame:
@@ -123,8 +124,10 @@ def scan(
     told = rows.where("error IS NOT NULL").select("path", F.col("error").alias("message"))
     errors = cut(told.unionByName(unread.select("path", F.concat("path", F.lit(": content could not be read")).alias("message"))))
     aliases = cut(same.join(files.select(F.col("path").alias("canonical"), "class_id"), "canonical").select("dir", F.element_at(F.split("alias", "/"), -1).alias("name"), "alias", "canonical", "class_id"))
+    # what isn't known of a file isn't known of its other paths either
+    unknown = unread.unionByName(aliases.join(unread.select(F.col("path").alias("canonical")), "canonical", "left_semi").select(F.col("alias").alias("path"), "dir"))
     links = cut(rows.where("kind = 'link' AND taken").select("dir", "name", "path", "target"))
-    return Scan(files, aliases, links, cut(_folders(rows, shut, unread)), errors, complete)
+    return Scan(files, aliases, links, cut(_folders(rows, shut, unknown)), errors, complete)
 
 
 def scan_roots(spark: SparkSession, *roots: str, profile: Profile = Profile()) -> Scan:

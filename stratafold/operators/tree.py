@@ -55,12 +55,19 @@ def dirs_under(files: DataFrame, roots: DataFrame) -> DataFrame:
     return up.join(roots.select("root").distinct(), "root", "left_semi")
 
 
-def subtree_sums(files: DataFrame) -> DataFrame:
+def subtree_sums(files: DataFrame, aliases: DataFrame | None = None, digests: DataFrame | None = None) -> DataFrame:
     """``(dir, files, bytes)`` over everything below each folder. The ancestors of a file's folder are exploded after
-    the files of that folder were summed, so the root's sums combine on the map side."""
+    the files of that folder were summed, so the root's sums combine on the map side. Hard-link ``aliases(dir)`` count as files without
+    bytes, with ``digests(dir, digest)`` only in folders that can be proven."""
     per = files.groupBy("dir").agg(F.count("*").alias("n"), F.sum(F.coalesce("size", F.lit(0))).alias("s"))
-    up = per.select(F.explode(ancestors(F.col("dir"), include_self=True)).alias("dir"), "n", "s")
-    return up.groupBy("dir").agg(F.sum("n").alias("files"), F.sum("s").alias("bytes"))
+    up = lambda df: df.withColumn("dir", F.explode(ancestors(F.col("dir"), include_self=True)))
+    rows = up(per)
+    if aliases is not None:
+        more = up(aliases.groupBy("dir").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("s")))
+        if digests is not None:
+            more = more.join(digests.where("digest IS NOT NULL").select("dir"), "dir", "left_semi")
+        rows = rows.unionByName(more)
+    return rows.groupBy("dir").agg(F.sum("n").alias("files"), F.sum("s").alias("bytes"))
 
 
 def identical_folders(digests: DataFrame, sums: DataFrame) -> DataFrame:
@@ -125,8 +132,10 @@ def longest_root(paths: DataFrame, roots: DataFrame, column: str = "path") -> Da
 
 def state_digests(folders: DataFrame, entries: DataFrame) -> DataFrame:
     """``(dir, digest)`` over the identity of every entry below a folder instead of its content: two calls tell whether anything was
-    touched in between. ``entries(dir, name, size, mtime_ns, ctime_ns, dev, ino)`` may hold more columns, which don't count."""
-    identity = F.to_json(F.struct("dev", "ino", "size", "mtime_ns", "ctime_ns"))
+    touched in between. ``entries(dir, name, size, mtime_ns, ctime_ns, dev, ino)`` may hold ``nlink``, ``mode``, ``uid`` and ``gid``, which count too,
+    and more columns, which don't."""
+    more = [c for c in ("nlink", "mode", "uid", "gid") if c in entries.columns]
+    identity = F.to_json(F.struct("dev", "ino", "size", "mtime_ns", "ctime_ns", *more))
     return folder_digests(folders, entries.select("dir", "name", identity.alias("class_id")))
 
 

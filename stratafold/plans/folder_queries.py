@@ -215,6 +215,11 @@ def g_folder_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.folder_clusters(cut(rows.select("dir", sized.alias("class_id"), "size")))
 
 
+QUERIES["d_cluster_totals"] = lambda spark, d: clusters.cluster_totals(g_folder_clusters(spark, d))
+SQL["d_cluster_totals"] = f"""SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS folders, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(dup_file_count) AS BIGINT) AS dup_files
+FROM (SELECT cluster, count(*) AS n, max(size) AS size, max(dup_file_count) AS dup_file_count FROM ({SQL["g_folder_clusters"]}) GROUP BY 1)"""
+
+
 _HASHES = "h AS (SELECT vec_id AS id, CAST(list_sum(list_transform(range(1, 64), lambda k: CASE WHEN embedding[k] > embedding[k + 1] THEN CAST(1 AS BIGINT) << (63 - k) ELSE 0 END)) AS BIGINT) AS hash FROM embeddings)"
 
 

@@ -89,7 +89,7 @@ def c_scan_aliases(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "c_scan_folders",
     f"""WITH {_ENTRIES}, e AS (SELECT dir, profiled AND NOT cloud AND size IS NOT NULL AS ok, size IS NULL AS failed FROM ent WHERE NOT starts_with(path, '/mnt/')
-      UNION ALL SELECT dir, false, true FROM fil WHERE class_id IS NULL),
+      UNION ALL SELECT dir, false, true FROM fil WHERE class_id IS NULL UNION ALL SELECT dir, false, true FROM ali WHERE class_id IS NULL),
     up AS (SELECT array_to_string(parts[1:k], '/') AS dir, k = len(parts) AS own, ok, failed FROM (SELECT *, string_split(dir, '/') AS parts FROM e), unnest(range(2, len(parts) + 1)) AS t(k))
     SELECT dir, bool_and(ok OR NOT own) AS ok, bool_or(failed AND own) AS read_failed FROM up GROUP BY 1""",
 )
@@ -98,6 +98,20 @@ def c_scan_folders(spark: SparkSession, d: str) -> DataFrame:
     return _scan(spark, d).folders.where("dir <> '/' AND dir <> ''").select("dir", "ok", "read_failed")
 
 
+@query(
+    "e_alias_counts",
+    f"""WITH {_ENTRIES}, un AS (SELECT path, dir FROM fil WHERE class_id IS NULL UNION ALL SELECT path, dir FROM ent WHERE NOT starts_with(path, '/mnt/') AND NOT (profiled AND NOT cloud AND size IS NOT NULL)
+      UNION ALL SELECT alias, dir FROM ali WHERE class_id IS NULL),
+    r AS (SELECT dir, size, 'f' AS k FROM fil UNION ALL SELECT dir, 0, 'a' FROM ali), up AS (SELECT array_to_string(parts[1:k2], '/') AS dir, size, k FROM (SELECT *, string_split(dir, '/') AS parts FROM r), unnest(range(2, len(parts) + 1)) AS t(k2)),
+    bad AS (SELECT DISTINCT array_to_string(parts[1:k2], '/') AS dir FROM (SELECT string_split(dir, '/') AS parts FROM un), unnest(range(2, len(parts) + 1)) AS t(k2))
+    SELECT dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM up WHERE k = 'f' OR dir NOT IN (SELECT dir FROM bad) GROUP BY 1""",
+)
+def e_alias_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Files below each folder with the hard links of provable folders, and bytes without them."""
+    s = _scan(spark, d)
+    return tree.subtree_sums(s.files, s.aliases, s.digests())
+
+
 @query("c_scan_summary", f"""WITH {_ENTRIES}, dup AS (SELECT * FROM fil WHERE class_id IS NOT NULL AND NOT starts_with(class_id, 'u:')), g AS (SELECT max(size) * (count(*) - 1) AS wasted, count(*) AS copies FROM dup GROUP BY class_id HAVING count(*) >= 2)
     SELECT (SELECT count(*) FROM fil) AS files, (SELECT CAST(sum(size) AS BIGINT) FROM fil) AS bytes, count(*) AS groups, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(wasted) AS BIGINT) AS wasted,
     (SELECT count(*) FROM ent WHERE size IS NULL AND NOT starts_with(path, '/mnt/')) + (SELECT count(*) FROM fil WHERE class_id IS NULL) AS problems FROM g""")

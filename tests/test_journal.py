@@ -89,6 +89,8 @@ def test_state_and_content_digests(spark):
     touched = a.withColumn("mtime_ns", F.when(F.col("path") == "/A/s/g", 9).otherwise(F.col("mtime_ns")))
     after = {r["dir"]: r["digest"] for r in tree.state_digests(ok, touched).collect()}
     assert {d for d in before if before[d] != after[d]} == {"/A", "/A/s"}
+    moded = {r["dir"]: r["digest"] for r in tree.state_digests(ok, a.withColumn("mode", F.lit(7))).collect()}
+    assert all(moded[k] != before[k] for k in before)
     e = a.withColumn("digest", F.sha2("name", 256)).unionByName(a.where("path = '/A/f'").select(*[F.col(x) for x in a.columns if x != "name"], F.lit("h").alias("name"), F.sha2("name", 256).alias("digest")).select(*a.columns, "digest"))
     got = {r["dir"]: (r["files"], r["bytes"], r["digest"] is None) for r in tree.content_digests(ok, e).collect()}
     assert got == {"/A": (3, 7, False), "/A/s": (1, 4, False), "/B": (1, 3, False)}
