@@ -138,7 +138,10 @@ def _search(tokens: DataFrame, classes: DataFrame, p: ChosenPath) -> DataFrame:
     """
     maps = classes.select("id", *_MAPS)
     chance = lambda n: F.lit(p.tokens) / F.greatest(n, F.lit(1))
-    forest = tokens.select(F.explode(F.sequence(F.lit(1), F.lit(p.trees))).alias("tree"), "id", "n", "t")
+    # sets of at most ``tokens`` tokens follow all of them, so one tree finds their pairs for certain, and a set of at most ``shared`` tokens
+    # has no larger partners: it needs no other tree
+    trees = F.when(F.col("n") <= p.shared, 1).otherwise(p.trees)
+    forest = tokens.select(F.explode(F.sequence(F.lit(1), trees)).alias("tree"), "id", "n", "t")
     level = forest.where(_unit(_h("tree", "t")) < chance(F.col("n"))).select(
         _child(_h(F.lit("root"), "tree")).alias("node"), "id", "n", F.array("t").alias("path")
     )
