@@ -635,7 +635,7 @@ def m_advice(spark: SparkSession, d: str) -> DataFrame:
     prefix = F.when(F.col("lang") == "en", "fskit: ").when(F.col("lang") == "uk", "no such file: ").otherwise("")
     rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.concat(prefix, "text").alias("m"))
     rows = rows.select(problem_title(F.col("m")).alias("title"), problem_advice(F.col("m")).alias("advice")).where("advice IS NOT NULL")
-    return rows.groupBy("title").agg(F.count("*").alias("messages"), F.min(F.length("title")).alias("n"))
+    return rows.groupBy("title").agg(F.count("*").alias("messages"), F.min(F.length("title")).cast("bigint").alias("n"))
 
 
 @query("m_labels", f"WITH {INV} SELECT {sql_category('path')} AS category, CASE {sql_category('path')} WHEN 'image' THEN 'Зображення' WHEN 'video' THEN 'Відео' WHEN 'audio' THEN 'Аудіо' WHEN 'document' THEN 'Документи' WHEN 'archive' THEN 'Архіви' WHEN 'application' THEN 'Програми й пакети' ELSE 'Інше' END AS label, count(*) AS files FROM inv GROUP BY 1, 2")
