@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("sim_pairs", "dir_clusters", "file_groups"):
+    for t in ("sim_pairs", "dir_clusters", "file_groups", "documents"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     found = c.execute(queries.SQL[name])
     names = sorted(x[0] for x in found.description)
@@ -50,3 +50,17 @@ def test_documents_of_the_filled_mixtures(spark):
     assert drawn == {k: n for k, n in table.items() if n}
     kept = {(r["mix_name"], r["source"]): r["reached_tokens"] for r in queries.QUERIES["p7_shares"](spark, SF).collect()}
     assert table != kept
+
+
+def test_pairs_follow_from_classes(spark):
+    """Every pair has two entries of one class, and every entry of a class is in a pair."""
+    classes = {(r["tbl"], r["id"]): r["form"] for r in queries.QUERIES["p1_classes"](spark, SF).collect()}
+    pairs = [tuple(r) for r in queries.QUERIES["p1_found"](spark, SF).collect()]
+    assert all(classes[t, a] == classes[t, b] for t, a, b in pairs)
+    assert {(t, i) for t, a, b in pairs for i in (a, b)} == set(classes)
+
+
+def test_tree_of_mixtures(spark):
+    rows = queries.QUERIES["p7_tree_shares"](spark, SF).collect()
+    assert rows and all(r["reached_tokens"] <= r["available_tokens"] * max(1, r["most_uses"]) for r in rows)
+    assert any(r["budget_tokens"] > r["share_tokens"] + 1 for r in rows)
