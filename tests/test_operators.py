@@ -147,6 +147,56 @@ def test_best_pairs_are_the_first_of_all_scored(spark):
             assert [tuple(x) for x in similar.best_pairs(*found, k, few).collect()] == want
 
 
+def best_of_all(spark, rows, k, fanout, first):
+    """The best pairs of listing and scoring all, and those of the pruned search."""
+    df = files(spark, rows)
+    dup, sums = I.duplicates(df), tree.subtree_sums(df)
+    pairs = similar.candidate_pairs(dup, digests(spark, df), sampled=fanout is not None)
+    want = similar.top_pairs(similar.score_pairs(pairs, similar.class_counts(dup), sums), k).collect()
+    got = similar.best_overlaps(dup, sums, lambda dirs: digests(spark, df).join(dirs, "dir", "left_semi"), k, fanout, first).collect()
+    return [tuple(x) for x in want], [tuple(x) for x in got]
+
+
+@pytest.mark.parametrize("k, fanout, first", [(5, similar.FANOUT, 1024), (3, similar.FANOUT, 4), (1000, None, 3)])
+def test_best_overlaps_are_those_of_all_pairs(spark, k, fanout, first):
+    r = random.Random(7)
+    rows = [(f"/{r.choice('ab')}/d{r.randrange(9)}/{r.choice(['', 'x/', 'y/z/'])}f{i}", 10 * x + 1, c(10 * x + 1, f"{x}")) for i, x in enumerate(r.randrange(30) for _ in range(150))]
+    rows += [(f"/{t}/same/f", 777, c(777, "s")) for t in "abc"] + [(f"/many/{i:03}/f", 100, c(100, "m")) for i in range(70)]
+    deep = "/".join(f"n{i}" for i in range(70))
+    rows += [(f"/{t}/{deep}/f", 300, c(300, "deep")) for t in "ef"] + [("/e/own", 5, "u:1")]
+    want, got = best_of_all(spark, rows, k, fanout, first)
+    assert got == want and (k > 100 or len(got) == k)
+
+
+def written_rows(spark, d, folders, classes):
+    """A table of files: every class is in every folder."""
+    i, x = F.expr(f"id div {classes}"), F.expr(f"id % {classes}")
+    name = F.concat(F.lit("f"), x)
+    rows = spark.range(folders * classes).select(F.col("id").alias("file_id"), F.concat(F.lit("/t"), i, F.lit("/s/"), name).alias("path"), F.concat(F.lit("/t"), i, F.lit("/s")).alias("dir"), name.alias("name"),
+        (x + i * 0 + 10).alias("size"), F.concat(x + 10, F.lit(":"), F.sha2(x.cast("string"), 256)).alias("class_id"), F.lit(1).alias("batch_no"), F.current_timestamp().alias("scanned_at"))
+    more = [F.lit(None).cast("bigint").alias(m) for m in ("mtime_ns", "btime_ns", "ctime_ns", "dev", "ino", "storage_dev", "storage_off", "alloc")]
+    own = spark.range(folders).select(*[F.expr(e) for e in ("1000000 + id AS file_id", "concat('/t', id, '/own') AS path", "concat('/t', id) AS dir", "'own' AS name", "5L AS size", "concat('u:', id) AS class_id", "1 AS batch_no", "now() AS scanned_at")])
+    rows.select("*", *more).unionByName(own.select("*", *more)).write.parquet(f"{d}/files.parquet")
+
+
+def test_best_pairs_do_not_list_all_pairs_by_class(spark, tmp_path):
+    """Folders near the root hold all classes: what is shuffled grows with the files, not with pairs times classes."""
+    written_rows(spark, tmp_path, 60, 300)
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, *none)
+        return {x.stageId(): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    from stratafold.plans.folder_queries import f_similar_folders
+
+    for query, limit in ((f_similar_folders, 6_000_000),):
+        before = max(written(), default=-1)
+        query(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+        assert 0 < sum(n for stage, n in written().items() if stage > before) < limit
+
+
 def test_empty_folders_links_and_aliases_count(spark):
     schema = "dir string, name string, class_id string"
     f = spark.createDataFrame([("/A", "x", "1:a"), ("/B", "x", "1:a"), ("/C", "x", "1:a"), ("/D", "x", "1:a")], schema)
