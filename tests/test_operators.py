@@ -189,14 +189,28 @@ def test_best_pairs_do_not_list_all_pairs_by_class(spark, tmp_path):
         stages = sc._jsc.sc().statusStore().stageList(None, False, False, *none)
         return {x.stageId(): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
 
-    from stratafold.plans.folder_queries import f_similar_folders
+    from stratafold.plans.folder_queries import f_evidence, f_similar_folders
 
-    for query, limit in ((f_similar_folders, 6_000_000),):
+    for query, limit in ((f_similar_folders, 6_000_000), (f_evidence, 9_000_000)):
         before = max(written(), default=-1)
         query(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
         assert 0 < sum(n for stage, n in written().items() if stage > before) < limit
 
 
+def test_evidence_is_the_largest_classes_of_a_pair(spark):
+    r = random.Random(3)
+    sizes = [r.choice([0, 1, 17, 900, 901, 5000, 70_000, 70_001, 1 << 40]) + r.randrange(3) for _ in range(60)]
+    rows = [(f"/{t}/{i % 4}/f{i}.{n}", s, c(s, f"{i:02}")) for i, s in enumerate(sizes) for t in "ab" for n in range(1 + i % 2)]
+    pairs = spark.createDataFrame([("/a", "/b"), ("/a/1", "/b/1"), ("/a/1", "/b/2")], "dir_a string, dir_b string")
+    got = sorted(tuple(x) for x in similar.evidence(pairs, I.duplicates(files(spark, rows)), 7).collect())
+    want = []
+    for a, b in (("/a", "/b"), ("/a/1", "/b/1")):
+        inside = {cl: (s, min(p for p, _, x in rows if x == cl and p.startswith(a + "/"))) for p, s, cl in rows if p.startswith(a + "/")}
+        for cl, (s, path) in sorted(inside.items(), key=lambda x: (-x[1][0], x[0]))[:7]:
+            want.append((a, b, cl, s, path, min(p for p, _, x in rows if x == cl and p.startswith(b + "/"))))
+    assert got == sorted(want)
+
+
 def test_empty_folders_links_and_aliases_count(spark):
     schema = "dir string, name string, class_id string"
     f = spark.createDataFrame([("/A", "x", "1:a"), ("/B", "x", "1:a"), ("/C", "x", "1:a"), ("/D", "x", "1:a")], schema)
