@@ -168,6 +168,21 @@ def test_best_overlaps_are_those_of_all_pairs(spark, k, fanout, first):
     assert got == want and (k > 100 or len(got) == k)
 
 
+@pytest.mark.parametrize("block", [similar.BLOCK, 5])
+def test_all_overlaps_are_those_of_all_pairs(spark, block):
+    r = random.Random(9)
+    rows = [(f"/{r.choice('ab')}/d{r.randrange(9)}/{r.choice(['', 'x/', 'y/z/'])}f{i}", 10 * x + 1, c(10 * x + 1, f"{x}")) for i, x in enumerate(r.randrange(30) for _ in range(120))]
+    rows += [(f"/{t}/same/f", 777, c(777, "s")) for t in "abc"] + [(f"/many/{i:03}/f", 100, c(100, "m")) for i in range(70)] + [(f"/many/{i:03}/o", 7, f"u:{i}") for i in range(70)]
+    df = files(spark, rows)
+    dup, sums = I.duplicates(df), tree.subtree_sums(df)
+    want = similar.score_pairs(similar.candidate_pairs(dup, digests(spark, df), sampled=False), similar.class_counts(dup), sums)
+    plan = similar.all_overlaps(dup, sums, digests(spark, df), block)
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, want.collect()))
+    # pairs aren't exchanged once they are made
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange hashpartitioning" not in text[: text.index("Generate explode(r")]
+
+
 def written_rows(spark, d, folders, classes):
     """A table of files: every class is in every folder."""
     i, x = F.expr(f"id div {classes}"), F.expr(f"id % {classes}")
